@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["cleaning", "profiling", "derived", "marts", "customers", "products", "segments"]
+AREAS = ["derived", "customers", "segments", "products"]
 
 
 def load_catalog():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, str]] = {}
 VIEWS: dict[str, str] = {}
 
 
@@ -63,19 +63,32 @@ def view(name: str, sql: str) -> None:
 
 
 def _with_views(body: str) -> str:
+    """WITH entries for every view the text names, dependencies first."""
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
-                visit(VIEWS[name].replace(name, "") if name in VIEWS[name] else VIEWS[name])
-                if name not in ordered:
-                    ordered.append(name)
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
+                visit(VIEWS[name])
+                ordered.append(name)
 
     visit(body)
     return ",\n".join(f"{name} AS ({VIEWS[name]})" for name in ordered)
 
 
+def oracle_texts() -> dict[str, str]:
+    """The full SQL text of every query that has one."""
+    texts = {}
+    for name, (spec, body) in ORACLES.items():
+        shaped = ", ".join(_shape_sql(n, k) for n, k in _columns(spec))
+        ctes = _with_views(body)
+        lead = f"{ctes},\n" if ctes else ""
+        texts[name] = f"WITH {lead}result_rows AS ({body.strip()})\nSELECT {shaped} FROM result_rows"
+    return texts
+
+
 def query(name: str, spec: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name``."""
     columns = _columns(spec)
@@ -89,10 +102,7 @@ def query(name: str, spec: str, sql: str | None = None) -> Callable[[Query], Que
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            shaped = ", ".join(_shape_sql(n, k) for n, k in columns)
-            ctes = _with_views(sql)
-            lead = f"{ctes},\n" if ctes else ""
-            ORACLES[name] = f"WITH {lead}result_rows AS ({sql.strip()})\nSELECT {shaped} FROM result_rows"
+            ORACLES[name] = (spec, sql)
         return fn
 
     return register
