@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.scalars import attach_row, clip, most_common, safe_ratio, total, whole_days
+from basketry.functions.grouping import with_value_profile
+from basketry.functions.scalars import attach_row, clip, safe_ratio, total, whole_days
 
 # Event types behind the five named roles of the event features.
 EVENT_ROLES = {
@@ -42,8 +43,6 @@ def customer_features(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("items"),
         total(F.col("sale_price")).alias("total_spend"),
         total(F.col("margin")).alias("total_margin"),
-        F.countDistinct("product_id").alias("unique_products"),
-        F.countDistinct("category").alias("unique_categories"),
         F.avg("sale_price").alias("avg_item_price"),
         F.sum("is_returned").alias("returned_items"),
         F.sum("is_cancelled").alias("cancelled_items"),
@@ -52,11 +51,18 @@ def customer_features(lines: DataFrame) -> DataFrame:
         F.avg("shipping_days").alias("avg_shipping_days"),
         F.avg("delivery_days").alias("avg_delivery_days"),
         F.median("age").alias("age"),
-        *[most_common(F.col(c), "unknown").alias(c) for c in ["gender", "country", "city", "traffic_source"]],
         F.max("is_loyal").alias("is_loyal"),
         F.min("created_at").alias("first_order"),
         F.max("created_at").alias("last_order"),
     )
+    customer = with_value_profile(
+        customer,
+        known,
+        ["user_id"],
+        distinct={"unique_products": "product_id", "unique_categories": "category"},
+        modes={c: c for c in ["gender", "country", "city", "traffic_source"]},
+        default="unknown",
+    )
     order_counts = latest_order_lines(lines).groupBy("user_id").agg(
         F.count("order_id").alias("orders"),
         F.sum("is_cancelled").alias("cancelled_orders"),
@@ -109,16 +115,19 @@ def event_activity(events: DataFrame, event_types: Sequence[str]) -> DataFrame:
     newest = known.agg(F.max("created_at").alias("newest_event"))
     per_user = known.groupBy("user_id").agg(
         F.count("id").alias("events_cnt"),
-        F.countDistinct("session_id").alias("unique_sessions"),
-        F.countDistinct(F.to_date("created_at")).alias("active_days"),
         F.max("created_at").alias("last_event_at"),
-        most_common(F.col("browser"), "Unknown").alias("favorite_browser"),
-        most_common(F.col("event_type"), "Unknown").alias("favorite_event_type"),
         *[
             F.count_if(F.col("event_type") == t).alias(f"event_type_{t.lower().replace(' ', '_')}_cnt")
             for t in event_types
         ],
     )
+    per_user = with_value_profile(
+        per_user,
+        known.withColumn("event_date", F.to_date("created_at")),
+        ["user_id"],
+        distinct={"unique_sessions": "session_id", "active_days": "event_date"},
+        modes={"favorite_browser": "browser", "favorite_event_type": "event_type"},
+    )
     return attach_row(per_user, newest).select(
         *per_user.columns, whole_days(F.col("newest_event"), F.col("last_event_at")).alias("days_since_last_event")
     )
@@ -149,7 +158,6 @@ def _profile_aggregates() -> dict:
     return {
         "first_order_at": F.min("created_at"),
         "last_order_at": F.max("created_at"),
-        "orders_cnt": F.countDistinct("order_id"),
         "items_cnt": total(F.col("num_of_item")),
         "total_revenue": total(F.col("line_revenue")),
         "total_profit": total(F.col("line_profit")),
@@ -161,20 +169,27 @@ def _profile_aggregates() -> dict:
         "avg_delivery_days": F.avg("delivery_days"),
         "avg_shipping_delay_days": F.avg("shipping_delay_days"),
         "discount_ratio_mean": F.avg("discount_ratio"),
-        "unique_categories": F.countDistinct("category"),
-        "unique_products": F.countDistinct("product_id"),
-        "unique_brands": F.countDistinct("brand"),
-        "favorite_category": most_common(F.col("category"), "Unknown"),
-        "favorite_brand": most_common(F.col("brand"), "Unknown"),
         "age": F.median("age"),
-        "gender": most_common(F.col("gender"), "Unknown"),
-        "state": most_common(F.col("state"), "Unknown"),
-        "city": most_common(F.col("city"), "Unknown"),
-        "traffic_source": most_common(F.col("traffic_source"), "Unknown"),
         "is_loyal": F.max("is_loyal"),
     }
 
 
+PROFILE_DISTINCT = {
+    "orders_cnt": "order_id",
+    "unique_categories": "category",
+    "unique_products": "product_id",
+    "unique_brands": "brand",
+}
+PROFILE_MODES = {
+    "favorite_category": "category",
+    "favorite_brand": "brand",
+    "gender": "gender",
+    "state": "state",
+    "city": "city",
+    "traffic_source": "traffic_source",
+}
+
+
 # Columns of the two published customer tables.
 MART_COLUMNS = [
     "first_order_at", "last_order_at", "orders_cnt", "items_cnt", "total_revenue", "total_profit", "avg_order_value",
@@ -192,7 +207,14 @@ CLUSTER_COLUMNS = [
 
 def _user_table(sales: DataFrame, columns: Sequence[str], recency_name: str, frequency_name: str) -> DataFrame:
     aggregates = _profile_aggregates()
-    users = sales.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*[aggregates[c].alias(c) for c in columns])
+    known = sales.where(F.col("user_id").isNotNull())
+    users = with_value_profile(
+        known.groupBy("user_id").agg(*[aggregates[c].alias(c) for c in columns if c in aggregates]),
+        known,
+        ["user_id"],
+        distinct={name: c for name, c in PROFILE_DISTINCT.items() if name in columns},
+        modes={name: c for name, c in PROFILE_MODES.items() if name in columns},
+    )
     snapshot = sales.agg((F.max("created_at") + F.expr("INTERVAL 1 DAY")).alias("snapshot_at"))
     tenure = whole_days(F.col("snapshot_at"), F.col("first_order_at"))
     return attach_row(users, snapshot).select(
