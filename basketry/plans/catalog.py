@@ -44,17 +44,18 @@ def _shape_column(name: str, kind: str) -> Column:
 
 
 def _shape_sql(name: str, kind: str) -> str:
+    quoted = f'"{name}"'
     if kind in ("i", "b"):
-        expression = f"CAST({name} AS BIGINT)"
+        expression = f"CAST({quoted} AS BIGINT)"
     elif kind == "f":
-        expression = f"round(CAST({name} AS DOUBLE) + 1e-9, 4) + 0.0"
+        expression = f"round(CAST({quoted} AS DOUBLE) + 1e-9, 4) + 0.0"
     elif kind == "d":
-        expression = f"strftime(CAST({name} AS DATE), '%Y-%m-%d')"
+        expression = f"strftime(CAST({quoted} AS DATE), '%Y-%m-%d')"
     elif kind == "t":
-        expression = f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
+        expression = f"strftime(CAST({quoted} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     else:
-        expression = f"CAST({name} AS VARCHAR)"
-    return f"{expression} AS {name}"
+        expression = f"CAST({quoted} AS VARCHAR)"
+    return f"{expression} AS {quoted}"
 
 
 def view(name: str, sql: str) -> None:
