@@ -10,7 +10,7 @@ Only bounded metadata (cut points, bucket totals, boundary rows) reaches the dri
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from math import floor
 
@@ -49,15 +49,12 @@ def count_below(value: Column, cuts: Sequence[float]) -> Column:
     return tree(0, len(cuts))
 
 
-def with_buckets(
-    df: DataFrame, value: str, tie: str, cuts: Sequence[float], tie_cuts: Sequence[float], descending: bool = False
-) -> DataFrame:
-    """Add ``_bucket`` and ``_part``; (bucket, part) ascends with (value, tie)."""
-    v = F.col(value).cast("double")
-    on_cut = v.isin([float(c) for c in cuts]) if cuts else F.lit(False)
-    bucket = count_below(v, cuts) * 2 + on_cut.cast("int")
-    part = F.when(on_cut, count_below(F.col(tie).cast("double"), tie_cuts)).otherwise(F.lit(0))
-    return df.withColumn("_bucket", -bucket if descending else bucket).withColumn("_part", part)
+def order_bucket(value: Column, tie: Column, cuts: Sequence[float], tie_cuts: Sequence[float]) -> tuple[Column, Column]:
+    """(bucket, part), which ascend with (value, tie)."""
+    on_cut = value.isin([float(c) for c in cuts]) if cuts else F.lit(False)
+    bucket = count_below(value, cuts) * 2 + on_cut.cast("int")
+    part = F.when(on_cut, count_below(tie.cast("double"), tie_cuts)).otherwise(F.lit(0))
+    return bucket, part
 
 
 def running(
@@ -67,7 +64,6 @@ def running(
     sums: Sequence[str] = (),
     descending: bool = False,
     staged: bool = False,
-    buckets: int | None = None,
 ) -> DataFrame:
     """Global ``row_rank`` (1-based), ``row_total`` and, for every column in ``sums``,
     ``cum_<c>`` and ``total_<c>``, in the order (value, tie ascending).
@@ -75,8 +71,11 @@ def running(
     ``value`` must not be null. ``tie`` must be a numeric key that makes the order total.
     """
     base = df if staged else stage(df, "running")
-    cuts, tie_cuts = cut_points(base, [value, tie], buckets or bucket_count(base))
-    base = with_buckets(base, value, tie, cuts, tie_cuts, descending)
+    signed = F.col(value).cast("double")
+    base = base.withColumn("_v", -signed if descending else signed)
+    cuts, tie_cuts = cut_points(base, ["_v", tie], bucket_count(base))
+    bucket, part = order_bucket(F.col("_v"), F.col(tie), cuts, tie_cuts)
+    base = base.withColumn("_bucket", bucket).withColumn("_part", part)
     keys = ["_bucket", "_part"]
     totals = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_s_{c}") for c in sums]
@@ -91,14 +90,62 @@ def running(
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0.0)).alias(f"_s0_{c}") for c in sums],
         *[F.sum(f"_s_{c}").over(whole).alias(f"total_{c}") for c in sums],
     )
-    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()]
-    inside = Window.partitionBy(*keys).orderBy(*order)
+    inside = Window.partitionBy(*keys).orderBy("_v", tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = base.join(F.broadcast(offsets), keys)
     out = out.withColumn("row_rank", F.col("_n0") + F.row_number().over(inside))
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.col(f"_s0_{c}") + F.coalesce(F.sum(c).over(upto), F.lit(0.0)))
-    return out.drop(*keys, "_n0", *[f"_s0_{c}" for c in sums])
+    return out.drop(*keys, "_v", "_n0", *[f"_s0_{c}" for c in sums])
+
+
+def locate(
+    long: DataFrame,
+    cuts: Mapping[int, tuple[Sequence[float], Sequence[float]]],
+    positions: Callable[[int, int], list[int]],
+) -> dict[int, tuple[int, dict[int, tuple[float, float]]]]:
+    """The (value, tie) pair at wanted global positions of several orders at once.
+
+    ``long`` has (_spec, _v, _t, _w): an order number, the value and tie to sort by and how
+    many rows the entry stands for; it must be (a projection of) a staged table.
+    ``positions(spec, n)`` names the 1-based positions for an order of n rows. Two jobs:
+    bucket totals, combined map-side; then only the buckets that hold a wanted position are
+    sorted. Returns ``{spec: (n, {position: (value, tie)})}``.
+    """
+    bucket = part = F.lit(0)
+    for spec, (value_cuts, tie_cuts) in cuts.items():
+        b, t = order_bucket(F.col("_v"), F.col("_t"), value_cuts, tie_cuts)
+        bucket = F.when(F.col("_spec") == spec, b).otherwise(bucket)
+        part = F.when(F.col("_spec") == spec, t).otherwise(part)
+    tagged = long.withColumn("_bucket", bucket).withColumn("_part", part)
+    keys = ["_spec", "_bucket", "_part"]
+    totals = sorted(tuple(r) for r in tagged.groupBy(*keys).agg(F.sum("_w")).collect())
+    sizes: dict[int, int] = {}
+    for spec, _, _, n in totals:
+        sizes[spec] = sizes.get(spec, 0) + n
+    wanted_at = {spec: [p for p in positions(spec, n) if 1 <= p <= n] for spec, n in sizes.items()}
+    wanted: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    start = dict.fromkeys(sizes, 0)
+    for spec, b, t, n in totals:
+        here = [(p, p - start[spec]) for p in wanted_at[spec] if start[spec] < p <= start[spec] + n]
+        if here:
+            wanted[(spec, b, t)] = here
+        start[spec] += n
+    found: dict[int, tuple[int, dict[int, tuple[float, float]]]] = {spec: (n, {}) for spec, n in sizes.items()}
+    if not wanted:
+        return found
+    hit = pick = F.lit(False)
+    for (spec, b, t), pairs in wanted.items():
+        here = (F.col("_spec") == spec) & (F.col("_bucket") == b) & (F.col("_part") == t)
+        hit = hit | here
+        for local in sorted({local for _, local in pairs}):
+            pick = pick | (here & (F.col("_upto") >= local) & (F.col("_upto") - F.col("_w") < local))
+    upto = Window.partitionBy(*keys).orderBy("_v", "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for row in tagged.where(hit).withColumn("_upto", F.sum("_w").over(upto)).where(pick).collect():
+        for position, local in wanted[(row["_spec"], row["_bucket"], row["_part"])]:
+            if row["_upto"] - row["_w"] < local <= row["_upto"]:
+                found[row["_spec"]][1][position] = (row["_v"], row["_t"])
+    return found
 
 
 @dataclass(frozen=True)
@@ -107,54 +154,12 @@ class Score:
 
     name: str
     value: str
-    last_positions: Callable[[int], list[int]]  # last row position of bins 1..k-1
+    ends: Callable[[int], list[int]]  # last row position of every bin but the last
     descending: bool = False
 
-
-def boundary_rows(
-    base: DataFrame, value: str, tie: str, positions: Sequence[int], cuts, tie_cuts, descending: bool, weight: str | None
-) -> dict[int, tuple[float, float]]:
-    """(value, tie) at each 1-based global position; ``base`` must be a staged table.
-
-    Two passes: bucket totals (map-side combined), then only the buckets that hold a
-    wanted position are sorted.
-    """
-    tagged = with_buckets(base, value, tie, cuts, tie_cuts, descending)
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    totals = sorted((r["_bucket"], r["_part"], r["n"]) for r in tagged.groupBy("_bucket", "_part").agg(size.alias("n")).collect())
-    wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    start = 0
-    for bucket, part, n in totals:
-        for position in positions:
-            if start < position <= start + n:
-                wanted.setdefault((bucket, part), []).append((position, position - start))
-        start += n
-    if not wanted:
-        return {}
-    hit = F.lit(False)
-    pick = F.lit(False)
-    inside = Window.partitionBy("_bucket", "_part").orderBy(
-        F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()
-    )
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for (bucket, part), pairs in wanted.items():
-        here = (F.col("_bucket") == bucket) & (F.col("_part") == part)
-        hit = hit | here
-        for _, local in pairs:
-            pick = pick | (here & (F.col("_upto") >= local) & (F.col("_upto") - F.col("_w") < local))
-    rows = (
-        tagged.where(hit)
-        .select("_bucket", "_part", value, tie, (F.col(weight) if weight else F.lit(1)).alias("_w"))
-        .withColumn("_upto", F.sum("_w").over(upto))
-        .where(pick)
-        .collect()
-    )
-    found: dict[int, tuple[float, float]] = {}
-    for row in rows:
-        for position, local in wanted[(row["_bucket"], row["_part"])]:
-            if row["_upto"] - row["_w"] < local <= row["_upto"]:
-                found[position] = (row[value], row[tie])
-    return found
+    def signed(self) -> Column:
+        value = F.col(self.value).cast("double")
+        return -value if self.descending else value
 
 
 def add_scores(base: DataFrame, tie: str, scores: Sequence[Score]) -> DataFrame:
@@ -163,27 +168,21 @@ def add_scores(base: DataFrame, tie: str, scores: Sequence[Score]) -> DataFrame:
     ``base`` must be staged and its score columns non-null. Only the rows at the bin ends
     are located; the labels are then a projection with literal comparisons.
     """
-    n = base.count()
-    if n == 0:
-        return base.select("*", *[F.lit(1).alias(s.name) for s in scores])
-    all_cuts = cut_points(base, [s.value for s in scores] + [tie], bucket_count(base))
+    ranked = base.select(F.col(tie).alias("_t"), *[s.signed().alias(f"_v{i}") for i, s in enumerate(scores)])
+    *value_cuts, tie_cuts = cut_points(ranked, [f"_v{i}" for i in range(len(scores))] + ["_t"], bucket_count(base))
+    entries = F.array(*[F.struct(F.lit(i).alias("_spec"), F.col(f"_v{i}").alias("_v")) for i in range(len(scores))])
+    long = ranked.select("_t", F.inline(entries)).withColumn("_w", F.lit(1))
+    found = locate(long, {i: (c, tie_cuts) for i, c in enumerate(value_cuts)}, lambda i, n: scores[i].ends(n))
     columns = []
-    for score, cuts in zip(scores, all_cuts):
-        positions = score.last_positions(n)
-        ends = boundary_rows(
-            base, score.value, tie, [p for p in positions if p >= 1], cuts, all_cuts[-1], score.descending, None
-        )
+    for i, score in enumerate(scores):
         label = F.lit(1)
-        for position in positions:
+        n, rows = found.get(i, (0, {}))
+        for position in score.ends(n):
             if position < 1:  # the bin below is empty
                 label = label + F.lit(1)
-                continue
-            if position not in ends:  # past the last row
-                continue
-            v, t = ends[position]
-            col = F.col(score.value)
-            later = (col < F.lit(v)) if score.descending else (col > F.lit(v))
-            label = label + (later | ((col == F.lit(v)) & (F.col(tie) > F.lit(t)))).cast("int")
+            elif position in rows:
+                v, t = (F.lit(x) for x in rows[position])
+                label = label + ((score.signed() > v) | ((score.signed() == v) & (F.col(tie) > t))).cast("int")
         columns.append(label.alias(score.name))
     return base.select("*", *columns)
 
@@ -194,8 +193,7 @@ def percentile_score_ends(n: int) -> list[int]:
 
 
 def reversed_percentile_score_ends(n: int) -> list[int]:
-    """Positions where ``ceil(5 (n - r) / n)``, clipped to 1..5, steps down: r in these
-    ends keeps a score above 4, 3, 2, 1."""
+    """Last ranks r where ``ceil(5 (n - r) / n)`` is still above 4, 3, 2 and 1."""
     return [n - floor(k * n / 5) - 1 for k in range(4, 0, -1)]
 
 
@@ -216,38 +214,42 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     small = [c for c in columns if sizes[c] <= limit]
     large = [c for c in columns if sizes[c] > limit]
-    parts = []
+    if not large:
+        return df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(c) for c in columns])
+    found = _searched_quantiles(df, large, probabilities)
+    literals = [F.array(*[F.lit(v) for v in found[c]]).alias(c) for c in large]
+    out = df.sparkSession.range(1).select(*literals)
     if small:
-        parts.append(df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(c) for c in small]))
-    if large:
-        literals = [
-            F.array(*[F.lit(float(v)) for v in _searched_quantiles(df, c, probabilities)]).alias(c) for c in large
-        ]
-        parts.append(df.sparkSession.range(1).select(*literals))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(F.broadcast(part))
+        out = out.crossJoin(F.broadcast(quantiles(df, small, probabilities, limit)))
     return out.select(*columns)
 
 
-def _searched_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
+def _searched_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
+    """Exact quantiles from distributed value counts and a search by bucket."""
+    entries = F.array(*[F.struct(F.lit(i).alias("_spec"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
     counted = stage(
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("w"))
-        .withColumn("t", F.lit(0)),
+        df.select(F.inline(entries))
+        .where(F.col("_v").isNotNull())
+        .groupBy("_spec", "_v")
+        .agg(F.count(F.lit(1)).alias("_w"))
+        .withColumn("_t", F.lit(0)),
         "quantiles",
     )
-    n = counted.agg(F.sum("w")).first()[0]
-    (cuts,) = cut_points(counted, ["v"], bucket_count(counted))
-    spots = [(n - 1) * p for p in probabilities]
-    positions = sorted({floor(s) + 1 for s in spots} | {min(n, floor(s) + 2) for s in spots})
-    found = boundary_rows(counted, "v", "t", positions, cuts, [], False, "w")
-    result = []
-    for spot in spots:
-        low, high = found[floor(spot) + 1][0], found[min(n, floor(spot) + 2)][0]
-        result.append(low + (high - low) * (spot - floor(spot)))
-    return result
+    buckets = bucket_count(counted)
+    probes = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    rough = counted.groupBy("_spec").agg(F.percentile_approx("_v", probes, 4 * buckets).alias("cuts")).collect()
+    cuts = {r["_spec"]: (sorted(set(r["cuts"])), []) for r in rough}
+
+    def spots(n: int) -> list[tuple[int, int, float]]:
+        at = [(n - 1) * p for p in probabilities]
+        return [(floor(x) + 1, min(n, floor(x) + 2), x - floor(x)) for x in at]
+
+    located = locate(counted, cuts, lambda _, n: sorted({p for low, high, _ in spots(n) for p in (low, high)}))
+    out = {}
+    for i, c in enumerate(columns):
+        n, rows = located[i]
+        out[c] = [rows[low][0] + (rows[high][0] - rows[low][0]) * part for low, high, part in spots(n)]
+    return out
 
 
 def medians(df: DataFrame, columns: Sequence[str], suffix: str = "_median") -> DataFrame:

@@ -26,17 +26,16 @@ SHARE_DIGITS = 9
 SUM_DIGITS = 6
 
 
-def percentile_scores(
-    df: DataFrame, scores: Sequence[tuple[str, str, bool]], key: str = "user_id", fill_medians: bool = True
-) -> DataFrame:
+def percentile_scores(df: DataFrame, scores: Sequence[tuple[str, str, bool]], key: str = "user_id") -> DataFrame:
     """Add 1..5 scores ``(name, column, reverse)`` by percentile rank, ties by ``key``.
 
-    Missing values take the column median first. ``df`` should be a staged table.
+    Missing values take the column median first. ``df`` must be a staged table.
     """
-    columns = [c for _, c, _ in scores]
-    filled = attach_row(df, medians(df, columns)) if fill_medians else df
-    helper = {f"_v_{name}": F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) if fill_medians else F.col(c).cast("double") for name, c, _ in scores}
-    base = filled.withColumns(helper)
+    columns = list(dict.fromkeys(c for _, c, _ in scores))
+    middle = medians(df, columns, "").first()  # one row of literals
+    base = df.withColumns(
+        {f"_v_{name}": F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double")) for name, c, _ in scores}
+    )
     wanted = [
         Score(f"_s_{name}", f"_v_{name}", reversed_percentile_score_ends if reverse else percentile_score_ends)
         for name, _, reverse in scores
@@ -48,9 +47,9 @@ def percentile_scores(
     )
 
 
-def add_rfm_scores(customers: DataFrame) -> DataFrame:
+def add_rfm_scores(customers: DataFrame, staged: bool = False) -> DataFrame:
     """rfm_r, rfm_f, rfm_m (1..5) and the three-digit rfm_score."""
-    base = stage(customers.withColumn("_spend", F.round("total_spend", SUM_DIGITS)), "customers")
+    base = (customers if staged else stage(customers, "customers")).withColumn("_spend", F.round("total_spend", SUM_DIGITS))
     scored = percentile_scores(base, [("rfm_r", "recency_days", True), ("rfm_f", "orders", False), ("rfm_m", "_spend", False)])
     return scored.drop("_spend").withColumn("rfm_score", F.col("rfm_r") * 100 + F.col("rfm_f") * 10 + F.col("rfm_m"))
 
@@ -66,10 +65,10 @@ def xyz_class(variation: Column, low: float, high: float) -> Column:
     return F.when(variation <= low, "X").when(variation <= high, "Y").otherwise("Z")
 
 
-def customer_abc(customers: DataFrame) -> DataFrame:
+def customer_abc(customers: DataFrame, staged: bool = False) -> DataFrame:
     """ABC class of every customer by cumulative spend, biggest first."""
     base = customers.select("user_id", "total_spend", F.round("total_spend", SUM_DIGITS).alias("_spend"))
-    ranked = running(base, "_spend", "user_id", sums=["total_spend"], descending=True)
+    ranked = running(base, "_spend", "user_id", sums=["total_spend"], descending=True, staged=staged)
     share = F.col("cum_total_spend") / F.greatest(F.col("total_total_spend"), F.lit(1.0))
     return ranked.select("user_id", abc_class(share).alias("abc_segment"))
 

@@ -51,8 +51,8 @@ def customer_profile(spark, d):
     """Features, scores, classes, event features and the named segment of every customer."""
     lines = enriched(spark, d, *CUSTOMER_INPUTS)
     base = stage(cu.customer_features(lines), "customers")
-    scored = sg.add_rfm_scores(base)
-    full = scored.join(sg.customer_abc(base), "user_id").join(sg.customer_xyz(lines), "user_id")
+    scored = sg.add_rfm_scores(base, staged=True)
+    full = scored.join(sg.customer_abc(base, staged=True), "user_id").join(sg.customer_xyz(lines), "user_id")
     full = cu.join_event_features(full, cu.event_features(event_log(spark, d), FIXTURE_ROLES))
     return sg.name_segments(full)
 

@@ -121,4 +121,4 @@ def f07(spark, d):
 def f08(spark, d):
     lines = enriched(spark, d, *CUSTOMER_INPUTS)
     base = stage(cu.customer_features(lines), "customers")
-    return sg.name_segments(sg.add_rfm_scores(base).join(sg.customer_abc(base), "user_id"))
+    return sg.name_segments(sg.add_rfm_scores(base, staged=True).join(sg.customer_abc(base, staged=True), "user_id"))
