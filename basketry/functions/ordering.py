@@ -17,6 +17,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.scalars import attach_row
 from basketry.session import stage
 
 # Beyond this many distinct values the built-in exact percentile (a value -> count map
@@ -220,7 +221,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     literals = [F.array(*[F.lit(v) for v in found[c]]).alias(c) for c in large]
     out = df.sparkSession.range(1).select(*literals)
     if small:
-        out = out.crossJoin(F.broadcast(quantiles(df, small, probabilities, limit)))
+        out = attach_row(out, quantiles(df, small, probabilities, limit))
     return out.select(*columns)
 
 

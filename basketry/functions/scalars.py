@@ -146,5 +146,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row frame (table-level statistics) to every row."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Add the columns of a one-row frame (table-level statistics) to every row.
+
+    A scalar subquery: it runs once and its result is a constant of the outer plan.
+    """
+    packed = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, *[F.col("_row")[c].alias(c) for c in one_row.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketry.functions.scalars import attach_row
 from basketry.operators import churn as ch
 from basketry.operators import metrics as mt
 from basketry.operators import snapshots as sn
@@ -305,7 +306,7 @@ def g20(spark, d):
 @query("g21_latest_scores", "snapshot_date:d user_id:i churn_target:i churn_probability:f risk_group:s roc_auc:f average_precision:f")
 def g21(spark, d):
     result = ch.train_boosted(sn.fill_features(split_panel(spark, d)), rounds=_BOOST_ROUNDS)
-    return result.predictions.crossJoin(F.broadcast(result.metrics))
+    return attach_row(result.predictions, result.metrics)
 
 
 @query(
