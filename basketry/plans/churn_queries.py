@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import attach_row
@@ -318,3 +319,12 @@ def g21(spark, d):
 )
 def g22(spark, d):
     return sn.dataset_report(split_panel(spark, d))
+
+
+@query("b24_one_hot_aligned", "snapshot_date:d user_id:i category_slots:i active_slots:i")
+def b24(spark, d):
+    filled = sn.fill_features(split_panel(spark, d))
+    encoded = ch.one_hot_aligned(filled.where("is_train"), filled.where("NOT is_train"), ["favorite_category", "favorite_brand"])
+    slots = vector_to_array("favorite_category_v")
+    total = F.aggregate(F.concat(slots, vector_to_array("favorite_brand_v")), F.lit(0.0), lambda a, x: a + x)
+    return encoded.withColumns({"category_slots": F.size(slots), "active_slots": total})
