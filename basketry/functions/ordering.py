@@ -17,12 +17,11 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.scalars import attach_row
 from basketry.session import stage
 
 # Beyond this many distinct values the built-in exact percentile (a value -> count map
 # merged in one task) gives way to the bucketed search.
-PERCENTILE_MAP_LIMIT = 1_000_000
+PERCENTILE_MAP_LIMIT = 100_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -207,50 +206,52 @@ def quintile_ends(n: int) -> list[int]:
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = PERCENTILE_MAP_LIMIT) -> DataFrame:
     """One row; ``columns`` become arrays of exact, linearly interpolated quantiles.
 
-    Nulls are skipped and an all-null column gives null. Up to ``limit`` distinct values a
-    single built-in percentile pass serves; beyond, values are counted and searched by bucket.
+    Nulls are skipped and an all-null column gives null. The input is read once, into
+    value counts combined map-side. A column with at most ``limit`` distinct values then
+    takes the built-in percentile over its counts; a larger one is searched by bucket, so
+    no task holds all of its values.
     """
-    columns = list(columns)
-    probabilities = list(probabilities)
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if sizes[c] <= limit]
-    large = [c for c in columns if sizes[c] > limit]
-    if not large:
-        return df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(c) for c in columns])
-    found = _searched_quantiles(df, large, probabilities)
-    literals = [F.array(*[F.lit(v) for v in found[c]]).alias(c) for c in large]
-    out = df.sparkSession.range(1).select(*literals)
-    if small:
-        out = attach_row(out, quantiles(df, small, probabilities, limit))
-    return out.select(*columns)
-
-
-def _searched_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
-    """Exact quantiles from distributed value counts and a search by bucket."""
-    entries = F.array(*[F.struct(F.lit(i).alias("_spec"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
-    counted = stage(
-        df.select(F.inline(entries))
-        .where(F.col("_v").isNotNull())
-        .groupBy("_spec", "_v")
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_t", F.lit(0)),
-        "quantiles",
-    )
+    columns, probabilities = list(columns), list(probabilities)
+    counted = _value_counts(df, columns)
     buckets = bucket_count(counted)
     probes = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    rough = counted.groupBy("_spec").agg(F.percentile_approx("_v", probes, 4 * buckets).alias("cuts")).collect()
-    cuts = {r["_spec"]: (sorted(set(r["cuts"])), []) for r in rough}
+    sizes = counted.groupBy("_spec").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probes, 4 * buckets).alias("cuts"))
+    found: dict[int, list[float]] = {}
+    large: dict[int, tuple[Sequence[float], Sequence[float]]] = {}
+    small: list[int] = []
+    for row in sizes.collect():
+        if row["n"] > limit:
+            large[row["_spec"]] = (sorted(set(row["cuts"])), [])
+        else:
+            small.append(row["_spec"])
+    if small:
+        exact = F.percentile("_v", F.array(*map(F.lit, probabilities)), F.col("_w"))
+        for row in counted.where(F.col("_spec").isin(small)).groupBy("_spec").agg(exact.alias("q")).collect():
+            found[row["_spec"]] = row["q"]
+    if large:
+        found |= _searched(counted.where(F.col("_spec").isin(list(large))), large, probabilities)
+    literals = [
+        F.array(*[F.lit(v) for v in found[i]]) if i in found else F.lit(None).cast("array<double>") for i in range(len(columns))
+    ]
+    return df.sparkSession.range(1).select(*[v.alias(c) for v, c in zip(literals, columns)])
+
+
+def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Staged (_spec, _v, _w, _t): how often every value of every column occurs."""
+    entries = F.array(*[F.struct(F.lit(i).alias("_spec"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(entries)).where(F.col("_v").isNotNull()).groupBy("_spec", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    return stage(counts.withColumn("_t", F.lit(0)), "values")
+
 
+def _searched(counted: DataFrame, cuts, probabilities: Sequence[float]) -> dict[int, list[float]]:
     def spots(n: int) -> list[tuple[int, int, float]]:
         at = [(n - 1) * p for p in probabilities]
         return [(floor(x) + 1, min(n, floor(x) + 2), x - floor(x)) for x in at]
 
     located = locate(counted, cuts, lambda _, n: sorted({p for low, high, _ in spots(n) for p in (low, high)}))
-    out = {}
-    for i, c in enumerate(columns):
-        n, rows = located[i]
-        out[c] = [rows[low][0] + (rows[high][0] - rows[low][0]) * part for low, high, part in spots(n)]
-    return out
+    return {
+        spec: [rows[low][0] + (rows[high][0] - rows[low][0]) * part for low, high, part in spots(n)] for spec, (n, rows) in located.items()
+    }
 
 
 def medians(df: DataFrame, columns: Sequence[str], suffix: str = "_median") -> DataFrame:

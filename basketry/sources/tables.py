@@ -19,6 +19,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute an input that reads as fewer tasks than there are cores.
+
+    Only a small or single-file table is affected; a large one already splits well and is
+    left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _days(n: Column) -> Column:
     return F.make_dt_interval(n)
 
@@ -76,7 +86,7 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     needed: set[str] = set()
     for c in wanted:
         needed |= _NEEDS[_ORDER_ITEM_COLUMNS[c][0]]
-    df = load(spark, sf_dir, "lineitem")
+    df = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")
     if "orders" in needed:
         df = df.join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "part" in needed:
@@ -94,7 +104,7 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clickstream events, moved back 23 years so that they overlap the orders."""
-    raw = load(spark, sf_dir, "events")
+    raw = spread(load(spark, sf_dir, "events"), "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     return raw.select(
         F.col("event_id").alias("id"),
@@ -110,4 +120,4 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents standing in for review texts."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("customer_review"))
+    return spread(load(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("text").alias("customer_review"))
