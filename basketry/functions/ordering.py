@@ -38,15 +38,28 @@ def cut_points(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list
 
 
 def count_below(value: Column, cuts: Sequence[float]) -> Column:
-    """Number of cut points smaller than ``value``, as a balanced CASE tree (log depth)."""
+    """Number of cut points smaller than ``value``.
 
-    def tree(low: int, high: int) -> Column:
+    A balanced CASE tree over every sixteenth cut, then a count inside one sixteen-long
+    chunk of a literal array: generated code stays small however many cuts there are.
+    """
+    cuts = [float(c) for c in cuts]
+
+    def tree(points: Sequence[float], low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(value > F.lit(cuts[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
-
-    return tree(0, len(cuts))
+        return F.when(value > F.lit(points[middle]), tree(points, middle + 1, high)).otherwise(tree(points, low, middle))
+
+    step = 16
+    if len(cuts) <= step:
+        return tree(cuts, 0, len(cuts))
+    coarse = cuts[step - 1 :: step]
+    chunk = tree(coarse, 0, len(coarse))
+    empty = F.array().cast("array<double>")
+    chunks = [F.array(*map(F.lit, cuts[i : i + step])) if i < len(cuts) else empty for i in range(0, step * (len(coarse) + 1), step)]
+    inside = F.size(F.filter(F.element_at(F.array(*chunks), chunk + 1), lambda c: c < value))
+    return chunk * step + inside
 
 
 def order_bucket(value: Column, tie: Column, cuts: Sequence[float], tie_cuts: Sequence[float]) -> tuple[Column, Column]:

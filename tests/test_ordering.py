@@ -85,8 +85,21 @@ def test_result_does_not_depend_on_partitions(spark):
     assert results[0] == results[1]
 
 
-def test_count_below_is_the_number_of_smaller_cuts(spark):
-    cuts = [1.0, 2.0, 5.0, 9.0, 11.0]
-    df = spark.createDataFrame([(float(x) / 2,) for x in range(0, 26)], "v double")
+@pytest.mark.parametrize("size", [0, 1, 5, 16, 17, 32, 100])
+def test_count_below_is_the_number_of_smaller_cuts(spark, size):
+    cuts = [float(3 * i) for i in range(size)]
+    df = spark.createDataFrame([(float(x) / 2,) for x in range(-4, 620)], "v double")
     for r in df.withColumn("n", od.count_below(F.col("v"), cuts)).collect():
         assert r["n"] == sum(c < r["v"] for c in cuts)
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(od, "bucket_count", lambda df: 128)
+    data = skewed(900, seed=9)
+    df = od.stage(spark.createDataFrame(data, "id long, v double"))
+    scored = od.add_scores(df, "id", [od.Score("a", "v", od.quintile_ends), od.Score("b", "v", od.quintile_ends, descending=True), od.Score("c", "v", od.percentile_score_ends)])
+    got = {r["id"]: r for r in scored.collect()}
+    for r, (key, _) in enumerate(sorted(data, key=lambda x: (x[1], x[0])), 1):
+        assert got[key]["a"] == max(1, -(-5 * (r - 1) // 899)) and got[key]["c"] == -(-5 * r // 900)
+    row = od.quantiles(df, ["v"], [0.25, 0.5], limit=0).first()
+    assert row["v"] == pytest.approx(list(np.quantile([v for _, v in data], [0.25, 0.5])))
