@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.neardup import near_duplicates
+from basketry.llm.quality import quality
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
+@query
+def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over all documents."""
+    return quality(table(spark, sf_dir, "documents"))
