@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.quality import quality
+from basketry.llm.substrings import repeated_spans
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,9 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents."""
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that stay when repeated 400-byte strings go."""
+    return repeated_spans(table(spark, sf_dir, "documents"), length=400).drop("spans")
