@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.neardup import near_duplicates
+from basketry.llm.pieces import encode
 from basketry.llm.quality import quality
 from basketry.llm.substrings import repeated_spans
 
@@ -37,3 +38,9 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that stay when repeated 400-byte strings go."""
     return repeated_spans(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
+@query
+def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of all documents."""
+    return encode(table(spark, sf_dir, "documents"), n_best=3)
