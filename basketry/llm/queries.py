@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import encode
 from basketry.llm.quality import quality
+from basketry.llm.shards import shard
 from basketry.llm.substrings import repeated_spans
+from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,15 @@ def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best segmentations of all documents."""
     return encode(table(spark, sf_dir, "documents"), n_best=3)
+
+
+@query
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in ten-word windows of the benchmark."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
