@@ -9,6 +9,7 @@ from basketry.llm.pieces import encode
 from basketry.llm.quality import quality
 from basketry.llm.shards import shard
 from basketry.llm.substrings import repeated_spans
+from basketry.llm.surrogates import pseudonymise
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
@@ -58,3 +59,9 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in ten-word windows of the benchmark."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by keyed surrogates."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
