@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.llm.licences import scan
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import encode
 from basketry.llm.quality import quality
@@ -65,3 +66,9 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by keyed surrogates."""
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among all whole documents."""
+    return scan(table(spark, sf_dir, "documents"))
