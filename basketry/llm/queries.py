@@ -11,6 +11,7 @@ from basketry.llm.quality import quality
 from basketry.llm.shards import shard
 from basketry.llm.substrings import repeated_spans
 from basketry.llm.surrogates import pseudonymise
+from basketry.llm.templates import extract
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
@@ -72,3 +73,9 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licences among all whole documents."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract(table(spark, sf_dir, "pages"))
