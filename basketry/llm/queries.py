@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.llm.licences import scan
 from basketry.llm.neardup import near_duplicates
@@ -12,6 +13,7 @@ from basketry.llm.shards import shard
 from basketry.llm.substrings import repeated_spans
 from basketry.llm.surrogates import pseudonymise
 from basketry.llm.templates import extract
+from basketry.llm.transcripts import fit, parse, raw_transcripts
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
@@ -79,3 +81,10 @@ def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from all conversations as plain logs; the model is fitted on the even conversations."""
+    logs = raw_transcripts(table(spark, sf_dir, "conversations"))
+    return parse(logs, fit(logs.where(F.pmod("conv_id", F.lit(2)) == 0)))
