@@ -49,10 +49,9 @@ SCRIPT_BANDS = {
     "other": Band((0.2, 6.0), 0.95, (-2.9, 2.3, -0.19, 0.005), 2.0),
 }
 
-RESULT = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_tokens long, n_byte_tokens long, token_entropy double, latin boolean"
-)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")
+#: Measures stand beside the columns of the input under names with this before them.
+OWN = "__quality_"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -156,18 +155,12 @@ def _measured(path: str):
                 count = np.diff(np.append(cuts, len(pairs)))
                 spread = np.bincount(pairs[cuts] // vocabulary.size, count * np.log2(count), minlength=n) if len(cuts) else np.zeros(n)
                 entropy = np.log2(np.maximum(n_tokens, 1)) - spread / np.maximum(n_tokens, 1)
+                counts = (n_words, chars, _per_row(np.flatnonzero(_SYMBOL[data]), offsets), _dup_lines(data, offsets, sums, starts), _repeat_words(words, before), n_tokens, n_bytes)
+                latin = 2 * np.diff(letters[offsets]) >= chars
+                given = [batch.column(k).slice(row, n) for k in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(row, n),
-                        *(
-                            pa.array(x.astype(np.int64))
-                            for x in (n_words, chars, _per_row(np.flatnonzero(_SYMBOL[data]), offsets), _dup_lines(data, offsets, sums, starts), _repeat_words(words, before), n_tokens, n_bytes)
-                        ),
-                        pa.array(entropy),
-                        pa.array(2 * np.diff(letters[offsets]) >= chars),
-                        batch.column("lang").slice(row, n),
-                    ],
-                    [c.split()[0] for c in RESULT.split(", ")] + ["lang"],
+                    given + [pa.array(x.astype(np.int64)) for x in counts] + [pa.array(entropy), pa.array(latin)],
+                    batch.schema.names + [OWN + c for c in (*COUNTS, "token_entropy", "latin")],
                 )
 
     return run
@@ -175,33 +168,47 @@ def _measured(path: str):
 
 def _verdict(bands: dict[str, Band], scripts: dict[str, Band]):
     """Whether a text lies inside its band."""
-    x = F.least(F.greatest(F.log2(F.greatest("n_tokens", F.lit(1))), F.lit(4.0)), F.lit(16.0))
+    tokens, entropy = F.col(OWN + "n_tokens"), F.col(OWN + "token_entropy")
+    x = F.least(F.greatest(F.log2(F.greatest(tokens, F.lit(1))), F.lit(4.0)), F.lit(16.0))
 
     def inside(band: Band):
         usual = sum((F.lit(c) * F.pow(x, F.lit(k)) for k, c in enumerate(band.bits)), F.lit(0.0))
-        per_token = F.col("word_chars") / F.greatest("n_tokens", F.lit(1))
-        return (F.col("n_tokens") < band.least_tokens) | (
-            per_token.between(*band.chars_per_token)
-            & (F.col("n_byte_tokens") <= band.byte_share * F.col("n_tokens"))
-            & (F.col("token_entropy") >= usual - band.slack)
+        per_token = F.col(OWN + "word_chars") / F.greatest(tokens, F.lit(1))
+        return (tokens < band.least_tokens) | (
+            per_token.between(*band.chars_per_token) & (F.col(OWN + "n_byte_tokens") <= band.byte_share * tokens) & (entropy >= usual - band.slack)
         )
 
     rule = F.when(F.lit(False), F.lit(True))
     for lang, band in bands.items():
         rule = rule.when(F.col("lang") == lang, inside(band))
-    return rule.when(F.col("latin"), inside(scripts["latin"])).otherwise(inside(scripts["other"]))
+    return rule.when(F.col(OWN + "latin"), inside(scripts["latin"])).otherwise(inside(scripts["other"]))
 
 
-def quality(docs: DataFrame, vocabulary: str = PIECES, bands: dict[str, Band] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
+def measured(docs: DataFrame, vocabulary: str = PIECES, bands: dict[str, Band] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
+    """``docs`` (text, lang and any other columns) with the measures and verdicts beside them, named OWN + name."""
+    given = docs.withColumn("text", F.col("text").cast("string")).withColumn("lang", F.col("lang").cast("string"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
+    own = ", ".join([*(f"{OWN}{c} long" for c in COUNTS), f"{OWN}token_entropy double", f"{OWN}latin boolean"])
+    words = F.col(OWN + "n_words")
+    return (
+        given.mapInArrow(_measured(vocabulary), f"{fields}, {own}")
+        .withColumn(OWN + "base_failed", (words < 10) | (100 * F.col(OWN + "n_repeat_words") > 20 * words))
+        .withColumn(OWN + "kept", ~F.col(OWN + "base_failed") & _verdict(bands or BANDS, scripts or SCRIPT_BANDS))
+    )
+
+
+def quality(docs: DataFrame, **parameters) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): counts, fertility measures, base_failed and kept.
 
     Null and empty texts have zero counts and fail the base rule. A null or unknown ``lang`` is judged by script.
-    The order of rows and repeated rows do not matter. Other columns are ignored.
+    The order of rows and repeated rows do not matter. Other columns are ignored. ``parameters`` are those of
+    measured().
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (
-        plain.mapInArrow(_measured(vocabulary), RESULT + ", lang string")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & _verdict(bands or BANDS, scripts or SCRIPT_BANDS))
-    )
+    names = [*COUNTS, "token_entropy", "latin", "base_failed", "kept"]
+    out = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), **parameters)
+    return out.select("doc_id", *(F.col(OWN + c).alias(c) for c in names))
+
+
+def good_only(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that quality() keeps, with their columns as they were."""
+    return measured(docs, **parameters).where(OWN + "kept").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -115,7 +115,8 @@ def _covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated,
+    and text_hash (xxhash64 of the text, to find the row again).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A document word within any
     occurrence of an item's window is hit. Null and wordless texts have no words and match nothing, as do such items.
@@ -143,5 +144,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long"))
     return joined.select(
         F.col("row_id.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.col("row_id.text_hash").alias("text_hash"),
     )
