@@ -24,6 +24,9 @@ BANDS, ROWS = 10, 4
 #: Minhashes of the table keys, and as many for the longer keys of full buckets.
 KEYED = 2 * BANDS * ROWS
 SKETCH = 2 * KEYED
+#: Shingles are counted in so many classes, in half a byte each: the sum of the smaller counts bounds an intersection.
+CLASSES = 128
+WIDE = SKETCH + CLASSES // 2
 #: A bucket up to this size is compared pair by pair, others get longer keys; a task holds buckets of up to HELD rows.
 SMALL, HELD = 64, 2000
 _SEEDS = H.mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
@@ -43,10 +46,12 @@ def _sketches(words: int):
         for batch in batches:
             for row, hashes, bounds in _shingles(batch.column("text"), words):
                 n = len(bounds) - 1
+                classes = np.zeros((n, CLASSES), np.uint8)
                 count, low, high = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 for k in range(n):
                     own = np.unique(hashes[bounds[k] : bounds[k + 1]])
                     count[k], low[k], high[k] = len(own), own.sum(dtype=np.uint64), H.mix(own).sum(dtype=np.uint64)
+                    classes[k] = np.minimum(np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 15)
                 sketch = np.zeros((n, SKETCH), np.uint8)
                 full = np.flatnonzero(np.diff(bounds))
                 if len(full):
@@ -60,7 +65,7 @@ def _sketches(words: int):
                         pa.array(count),
                         pa.array(low.view(np.int64)),
                         pa.array(high.view(np.int64)),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()),
+                        pa.array([x.tobytes() for x in np.hstack((sketch, classes[:, ::2] << 4 | classes[:, 1::2]))], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "low", "high", "sketch"],
                 )
@@ -70,7 +75,7 @@ def _sketches(words: int):
 
 def _keys(sketch: np.ndarray) -> np.ndarray:
     """The 4 x BANDS keys of each sketch: first and second collection, then those of the longer keys."""
-    return np.ascontiguousarray(sketch).view(np.uint32).astype(np.uint64)
+    return np.ascontiguousarray(sketch[:, :SKETCH]).view(np.uint32).astype(np.uint64)
 
 
 def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +84,7 @@ def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, WIDE)
         keys = _keys(sketch)[:, :BANDS]
         for i in range(BANDS):
             key = H.mix(keys[:, i] * np.uint64(64) + np.uint64(i))
@@ -98,7 +103,7 @@ class _Rows:
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Rows:
         arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "id", "n_shingles")]
-        return cls(*arrays, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH))
+        return cls(*arrays, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, WIDE))
 
     def take(self, at) -> _Rows:
         return _Rows(*(x[at] for x in (self.key, self.i, self.j, self.ids, self.size, self.sketch)))
@@ -128,6 +133,15 @@ class _Rows:
         return out
 
 
+def _may_link(rows: _Rows, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """False where the counts by class show that too few shingles can be common."""
+    a, b = rows.sketch[x, SKETCH:], rows.sketch[y, SKETCH:]
+    high, low = np.minimum(a >> 4, b >> 4), np.minimum(a & 15, b & 15)
+    most = high.sum(axis=1, dtype=np.int64) + low.sum(axis=1, dtype=np.int64)
+    unknown = (high == 15).any(axis=1) | (low == 15).any(axis=1)  # a class that is full in both
+    return unknown | (100 * most >= percent * (rows.size[x] + rows.size[y] - most))
+
+
 def _near(rows: _Rows, depth: int, percent: int, found: list) -> None:
     """Pairs whose sketches don't rule out a link, with the number of equal places, to ``found``."""
     if len(rows.key) < 2:
@@ -147,8 +161,10 @@ def _near(rows: _Rows, depth: int, percent: int, found: list) -> None:
             if len(x):
                 low, high = np.minimum(small.size[x], small.size[x + d]), np.maximum(small.size[x], small.size[x + d])
                 x = x[100 * low >= percent * high]
-                equal = (small.sketch[x] == small.sketch[x + d]).sum(axis=1)
+                equal = (small.sketch[x, :SKETCH] == small.sketch[x + d, :SKETCH]).sum(axis=1)
                 x, equal = x[equal >= least], equal[equal >= least]
+                fits = _may_link(small, x, x + d, percent)
+                x, equal = x[fits], equal[fits]
                 found.append((small.ids[x], small.ids[x + d], equal))
     if (full := length > most).any():
         for more in rows.take(full).longer(depth):
@@ -265,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     firsts = classes.mapInArrow(_first_keys, "key long, i int, j int, id long, n_shingles long, sketch binary")
     # only keys that two classes share go on
     shared = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = firsts.join(stage(shared, "shared"), "key", "left_semi")
+    rows = firsts.join(shared.hint("merge"), "key", "left_semi")
     pairs, stars = None, None
     for depth in range(3):
         dealt = rows.repartition("key").sortWithinPartitions("key", "n_shingles", "id")
@@ -280,13 +296,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
             rows = full.select("key", "i", "j", F.col("a").alias("id"), "n_shingles", "sketch").mapInArrow(_rekey(depth), "key long, i int, j int, id long, n_shingles long, sketch binary")
     pairs = stage(pairs.distinct(), "pairs")
     # the likely links first: pairs within a component need no look at their sets
-    links = _linked(plain, pairs.where(f"equal >= {SKETCH * percent / 100}").select("a", "b"), words, percent)
+    sets = _set_table(plain, pairs, words)
+    links = _linked(sets, pairs.where(f"equal >= {SKETCH * percent / 100}").select("a", "b"), percent)
     labels = stage(components(links), "components")
     rest = pairs.where(f"equal < {SKETCH * percent / 100}").select("a", "b")
     for end in ("a", "b"):
         rest = rest.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     rest = stage(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "pairs")
-    links = links.union(_linked(plain, rest, words, percent))
+    links = links.union(_linked(sets, rest, percent))
     labels = stage(components(links), "components")
     if stars.limit(1).count():
         labels = _stars(plain, stage(stars, "stars"), links, labels, words, percent)
@@ -313,15 +330,19 @@ def _rekey(depth: int):
     return run
 
 
-def _linked(plain: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough."""
+def _set_table(plain: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The full shingle sets of all ids in pairs. Texts move once, at every size, so that cost grows evenly."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = plain.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary")
+    needed = plain.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary")
     # repeated rows of an id have the same set only if their texts are alike: take the one that stands for the id
-    sets = stage(needed.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+    return stage(needed.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+
+
+def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    return stage(pairs.join(a, "a").join(b, "b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    return stage(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
 def _stars(plain: DataFrame, members: DataFrame, links: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
@@ -348,6 +369,7 @@ def _stars(plain: DataFrame, members: DataFrame, links: DataFrame, labels: DataF
             .where((F.col("label") != F.col("head.label")) & (100 * F.least(size, other) >= percent * F.greatest(size, other)))
             .select(F.least("id", F.col("head.id")).alias("a"), F.greatest("id", F.col("head.id")).alias("b"))
         )
-        links = links.union(_linked(plain, stage(pairs.distinct(), "pairs"), words, percent))
+        pairs = stage(pairs.distinct(), "pairs")
+        links = links.union(_linked(_set_table(plain, pairs, words), pairs, percent))
         labels = stage(components(links), "components")
         last = heads.select("key", "last")
