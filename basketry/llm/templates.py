@@ -234,8 +234,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if any(page.tokens[k][3] for k, _ in chosen):
                 chosen = [(k, slot) for k, slot in chosen if page.tokens[k][3]]
             blocks: dict[int, list[str]] = {}
-            for k, _ in chosen:
-                blocks.setdefault(page.tokens[k][5], []).append(page.tokens[k][1])
+            own = {page.tokens[k][5] for k, _ in chosen}
+            for _, value, dropped, _, _, block in page.tokens:
+                if value is not None and block in own and not dropped:  # the template's words within a slot's block belong to it
+                    blocks.setdefault(block, []).append(value)
             lines = [line for parts in blocks.values() if (line := _plain("".join(parts)))]
             texts.append("\n".join(lines))
             slots_of.append(len({s for _, s in chosen}))
