@@ -117,19 +117,24 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 def duplicate_columns(df: DataFrame) -> dict[str, str]:
     """{column: the earlier column it equals}, same type and NULL equal to NULL.
 
-    One pass compares a hash sum of every column; only columns whose sums agree are then
-    compared value by value, in one more pass.
+    One pass sums a hash of every column's value together with its row, which tells permuted columns apart; only
+    columns whose sums agree are then compared value by value, with each column found different so far.
     """
     types = dict(df.dtypes)
-    sums = df.agg(*[F.sum(F.shiftright(F.xxhash64(F.col(c), F.lit(1)), 44)).alias(c) for c in df.columns]).first()
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    sums = df.agg(*[F.sum(F.shiftright(F.xxhash64(F.col(f"`{c}`"), row), 32)).alias(f"s{i}") for i, c in enumerate(df.columns)]).first()
     groups: dict[tuple, list[str]] = {}
-    for c in df.columns:
-        groups.setdefault((types[c], sums[c]), []).append(c)
-    pairs = [(g[0], c) for g in groups.values() for c in g[1:]]
-    if not pairs:
-        return {}
-    same = df.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {b: a for i, (a, b) in enumerate(pairs) if same[i]}
+    for i, c in enumerate(df.columns):
+        groups.setdefault((types[c], sums[i]), []).append(c)
+    found: dict[str, str] = {}
+    open_groups = [g for g in groups.values() if len(g) > 1]
+    while open_groups:
+        pairs = [(g[0], c) for g in open_groups for c in g[1:]]
+        same = df.agg(*[F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+        equal = {b: a for i, (a, b) in enumerate(pairs) if same[i]}
+        found |= equal
+        open_groups = [rest for g in open_groups if len(rest := [c for c in g[1:] if c not in equal]) > 1]
+    return {c: found[c] for c in df.columns if c in found}
 
 
 def drop_duplicate_columns(df: DataFrame) -> DataFrame:

@@ -31,10 +31,20 @@ def _folder(spark, name):
 def _as_csv(spark, df, name):
     path = _folder(spark, name)
     texts = {f.name: F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS") for f in df.schema.fields if f.dataType.typeName() == "timestamp"}
-    (df.withColumns(texts) if texts else df).write.option("header", True).csv(path)
+    # as data frames of other tools are written: ids of columns with gaps as 12.0, quotes doubled
+    written = df.withColumns(texts | {"user_id": F.col("user_id").cast("double").cast("string")})
+    written.write.options(header=True, quote='"', escape='"').csv(path)
     return path
 
 
+def _reviewed(lines):
+    """Lines with a review that holds quotes, commas and a line break."""
+    return lines.withColumn("customer_review", F.concat(F.lit('"'), "category", F.lit('", said '), "city", F.lit(",\nthen left")))
+
+
+_REVIEW = "'\"' || category || '\", said ' || city || ',' || chr(10) || 'then left' AS customer_review"
+
+
 ORDER_SPEC = (
     "order_id:i user_id:i status:s created_at:t returned_at:t num_of_item:i sale_price:f cost:f age:f category:s city:s is_loyal:b"
 )
@@ -42,11 +52,11 @@ ORDER_SPEC = (
 
 @query(
     "a01_order_csv_scan",
-    ORDER_SPEC + " warehouse_name:s",
-    "SELECT *, CAST(NULL AS VARCHAR) AS warehouse_name FROM order_items",
+    ORDER_SPEC + " warehouse_name:s customer_review:s",
+    f"SELECT *, CAST(NULL AS VARCHAR) AS warehouse_name, {_REVIEW} FROM order_items",
 )
 def a01(spark, d):
-    path = _as_csv(spark, order_items(spark, d), "orders-csv")
+    path = _as_csv(spark, _reviewed(order_items(spark, d)), "orders-csv")
     return cl.parse_times(flatfiles.read_orders(spark, path))
 
 
@@ -60,9 +70,9 @@ def a02(spark, d):
     return cl.parse_times(flatfiles.read_events(spark, path))
 
 
-@query("a03_full_csv_scan", ORDER_SPEC + " product_id:i department:s country:s", "SELECT * FROM order_items")
+@query("a03_full_csv_scan", ORDER_SPEC + " product_id:i department:s country:s customer_review:s", f"SELECT *, {_REVIEW} FROM order_items")
 def a03(spark, d):
-    path = _as_csv(spark, order_items(spark, d), "orders-csv")
+    path = _as_csv(spark, _reviewed(order_items(spark, d)), "orders-csv")
     return cl.parse_times(flatfiles.read_csv(spark, path))
 
 
