@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm import oracles
 from basketry.llm.licences import scan
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import encode
@@ -17,7 +18,7 @@ from basketry.llm.transcripts import fit, parse, raw_transcripts
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_winnowing": oracles.WINNOWING, "op4_near_duplicates": oracles.NEAR_DUPLICATES}
 
 
 def query(fn):
@@ -62,7 +63,7 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in ten-word windows of the benchmark."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 @query
