@@ -6,6 +6,7 @@ rebalancing looks at the bytes of each slot and edits the map, so that only the
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -108,7 +109,7 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | N
     measured = {r.virtual_slot: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     first = initial_map(shards, slots)
     edited = rebalance(first, {k: r.bytes for k, r in measured.items()}, shards)
-    folder = folder or f"{shared_folder(spark)}/slot-map-{spark.sparkContext.applicationId}-{id(rows)}"
+    folder = folder or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     save_map(spark, folder, 1, first)
     save_map(spark, folder, 2, edited)
     filled, placed = [0] * shards, []
