@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.series import WEEKLY_FEATURES, expanding_folds, with_abs_error
-from basketry.session import stage
+from basketry.session import keep_lineage_short, stage
 
 
 def assemble(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
@@ -99,7 +99,7 @@ def out_of_fold(
 
 
 def boosted_forecast(
-    table: DataFrame, features: Sequence[str], label: str, rounds: int = 50, step: float = 0.04, log_target: bool = False,
+    table: DataFrame, features: Sequence[str], label: str, rounds: int = 600, step: float = 0.04, log_target: bool = False,
     keep: Sequence[str] = ("order_date",),
 ) -> DataFrame:
     """Gradient-boosted trees fitted on ``is_train`` rows, applied to the rest.
@@ -107,6 +107,7 @@ def boosted_forecast(
     With ``log_target`` the label is log1p of the measure: predictions are turned back and
     kept at or above zero.
     """
+    keep_lineage_short(table.sparkSession)
     data = assemble(table, features)
     model = GBTRegressor(labelCol=label, maxDepth=6, stepSize=step, maxIter=rounds, seed=42).fit(data.where("is_train"))
     scored = model.transform(data.where("NOT is_train"))
@@ -114,13 +115,13 @@ def boosted_forecast(
     return scored.select(*keep, F.col("prediction").alias("raw_prediction"), value.alias("predicted"))
 
 
-def revenue_forecast(table: DataFrame, features: Sequence[str], rounds: int = 50) -> DataFrame:
+def revenue_forecast(table: DataFrame, features: Sequence[str], rounds: int = 600) -> DataFrame:
     """Actual and predicted revenue of the validation days with the absolute error."""
     out = boosted_forecast(table, features, "revenue_log", rounds, 0.04, True, ["order_date", "revenue", "orders_cnt", "revenue_log"])
     return with_abs_error(out, "revenue", "predicted")
 
 
-def orders_forecast(table: DataFrame, features: Sequence[str], rounds: int = 50) -> DataFrame:
+def orders_forecast(table: DataFrame, features: Sequence[str], rounds: int = 400) -> DataFrame:
     """Actual and predicted order counts of the validation days with the absolute error."""
     return with_abs_error(boosted_forecast(table, features, "orders_cnt", rounds, 0.05, False, ["order_date", "orders_cnt"]), "orders_cnt", "predicted")
 

@@ -95,7 +95,7 @@ def recommender(spark: SparkSession, orders: str, out: str, n: int = 10, users:
 
 def churn_scoring(
     spark: SparkSession, orders: str, events: str, out: str, event_types: Sequence[str], roles: Mapping[str, str] = cu.EVENT_ROLES,
-    rounds: int = 50,
+    rounds: int = 300,
 ) -> list[str]:
     """Snapshot panel, boosted model, newest scores and the customer overview."""
     lines, log = load_orders(spark, orders), load_events(spark, events)

@@ -61,3 +61,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_lineage_short(spark: SparkSession) -> None:
+    """Lets iterative fits write checkpoints to the shared folder, where no folder is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
