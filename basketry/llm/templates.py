@@ -9,6 +9,7 @@ slots of menus, adverts, forms and the like are left out; the remaining slots ar
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -33,8 +34,8 @@ SALTS = 64
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 _CUT = re.compile(r"<[/a-zA-Z!?]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = re.compile(r"class|\bid\b|role|hidden|style", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_SPACES = re.compile(r"\s+")
 
 # Fixed values of HTML and of common page markup
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,7 +123,7 @@ class Page:
     def _marks(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
         """What of the attributes belongs to the role, and whether they or the tag name something other than an article."""
         drop = name in DROPPED_TAGS or (name == "header" and not in_article)
-        if not attributes.strip():
+        if not _TELLING.search(attributes):
             return "", drop
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         kinds = f"{found.get('class', '')} {re.sub('[0-9]+', '', found.get('id', ''))}"
@@ -136,15 +137,11 @@ class Page:
 
 def hash_text(value: str) -> int:
     """63-bit hash of a string, the same in every process."""
-    h = 0
-    for x in np.frombuffer(value.encode("utf-8", "surrogatepass").ljust(-(-len(value.encode("utf-8", "surrogatepass")) // 8) * 8, b"\0"), np.uint64).tolist():
-        h = ((h ^ x) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 29
-    return (h * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 1
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
 def _plain(value: str) -> str:
-    return _SPACES.sub(" ", html.unescape(value)).strip()
+    return " ".join((html.unescape(value) if "&" in value else value).split())
 
 
 def _keys(page: Page) -> list[int]:
