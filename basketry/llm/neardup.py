@@ -20,7 +20,7 @@ from basketry.llm import hashing as H
 from basketry.llm.components import components
 from basketry.session import stage
 
-BANDS, ROWS = 13, 4
+BANDS, ROWS = 18, 4
 #: Minhashes of the table keys, and as many for the longer keys of full buckets.
 KEYED = 2 * BANDS * ROWS
 SKETCH = 2 * KEYED

@@ -23,10 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays; of repeated rows with one doc_id, one.
 
-    Rows without a doc_id stay, one of each text.
+    Rows without a doc_id stay, one of each text. Near are texts whose five-word shingles have a Jaccard similarity of
+    0.8 or more; op4_near_duplicates has a threshold of its own.
     """
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
     named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 

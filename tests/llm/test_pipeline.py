@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import __spark_entry__
+from basketry.llm import neardup
 from basketry.llm.pieces import decoded
 from basketry.session import stage
 
@@ -25,6 +26,24 @@ def test_stages_take_effect(spark):
     assert encoded.count() == counts[-1] and back.where("text <> before").count() == 0
 
 
+def test_near_dedup_joins_pairs_between_80_and_85(spark):
+    words = [f"w{k}" for k in range(200)]
+    # 196 shingles each; 12 words changed at the end: 184 common of 208 (0.885), 18: 178 of 214 (0.832), 24: 172 of 220 (0.782)
+    rows = []
+    for group, changed in enumerate((12, 18, 24)):
+        base = [f"g{group}{w}" for w in words]
+        other = base[: len(base) - changed] + [f"other{w}" for w in base[len(base) - changed :]]
+        rows += [(10 * group + k, " ".join(t), "en", "s", 1) for k, t in enumerate((base, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()}
+    assert kept == {0, 10, 20, 21}
+
+
+def test_banding_finds_pairs_at_the_pipelines_threshold():
+    found = (1 - (1 - 0.8**neardup.ROWS) ** neardup.BANDS) ** 2
+    assert found >= 0.9998
+
+
 def test_queries_are_registered():
     queries = __spark_entry__.queries()
     assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
