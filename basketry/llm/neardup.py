@@ -4,7 +4,8 @@ Two collections of ``BANDS`` keys, each from ``ROWS`` minhashes, are paired into
 2 x ROWS minhashes each, so 2 x BANDS x ROWS minhashes do the work of BANDS^2 x 2 x ROWS. Texts with the same
 shingle set are one class from the start. Rows are dealt out by the first key and paired with the second inside
 the task; buckets that are too full move to longer keys, and what does not fit a task even then is compared star
-by star, until every bucket lies within one component or all its pairs were looked at.
+by star. Full buckets whose texts are not of one component then are dealt out by blocks, and all their pairs of
+different components looked at, so that no pair that shares a table key is passed over.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ CLASSES = 128
 WIDE = SKETCH + CLASSES // 2
 #: A bucket up to this size is compared pair by pair, others get longer keys; a task holds buckets of up to HELD rows.
 SMALL, HELD = 64, 2000
+#: Members of a full bucket are dealt out in blocks of about so many; a task compares the pairs of two blocks at a time.
+DEALT = 1000
 _SEEDS = H.mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -142,17 +145,24 @@ def _may_link(rows: _Rows, x: np.ndarray, y: np.ndarray, percent: int) -> np.nda
     return unknown | (100 * most >= percent * (rows.size[x] + rows.size[y] - most))
 
 
-def _near(rows: _Rows, depth: int, percent: int, found: list) -> None:
-    """Pairs whose sketches don't rule out a link, with the number of equal places, to ``found``."""
+def _least(percent: int) -> float:
+    """Equal places of two sketches below which a pair is no link: six standard errors under the threshold."""
+    share = percent / 100
+    return SKETCH * (share - 6 * (share * (1 - share) / SKETCH) ** 0.5)
+
+
+def _near(rows: _Rows, depth: int, percent: int, found: list, opened: list) -> None:
+    """Pairs whose sketches don't rule out a link, with the number of equal places, to ``found``.
+
+    Members of buckets of a table key that are too full for that go to ``opened`` too.
+    """
     if len(rows.key) < 2:
         return
     length = rows.runs()
     most = HELD if depth == 2 else SMALL
     small = rows.take((length > 1) & (length <= most))
     if len(small.key):
-        # estimate below the threshold by more than six standard errors: not a link
-        share = percent / 100
-        least = SKETCH * (share - 6 * (share * (1 - share) / SKETCH) ** 0.5)
+        least = _least(percent)
         seconds = _keys(small.sketch)[:, BANDS : 2 * BANDS]
         for d in range(1, int(small.runs().max())):
             x = np.flatnonzero(small.key[d:] == small.key[:-d])
@@ -167,30 +177,35 @@ def _near(rows: _Rows, depth: int, percent: int, found: list) -> None:
                 x, equal = x[fits], equal[fits]
                 found.append((small.ids[x], small.ids[x + d], equal))
     if (full := length > most).any():
-        for more in rows.take(full).longer(depth):
-            _near(more, depth + 1, percent, found)
+        held = rows.take(full)
+        if depth == 1:
+            opened.append(held)
+        for more in held.longer(depth):
+            _near(more, depth + 1, percent, found, opened)
 
 
 def _table(rows: _Rows, kind: int) -> pa.RecordBatch:
     n = len(rows.ids)
+    sketch = pa.nulls(n, pa.binary()) if kind == _OPEN else pa.array([x.tobytes() for x in rows.sketch], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(rows.ids), pa.nulls(n, pa.int64()), pa.array(rows.key), pa.array(rows.i), pa.array(rows.j), pa.array(rows.size), pa.array([x.tobytes() for x in rows.sketch], pa.binary())],
+        [pa.array(np.full(n, kind, np.int32)), pa.array(rows.ids), pa.nulls(n, pa.int64()), pa.array(rows.key), pa.array(rows.i), pa.array(rows.j), pa.array(rows.size), sketch],
         ["kind", "a", "b", "key", "i", "j", "n_shingles", "sketch"],
     )
 
 
 _FOUND = "kind int, a long, b long, key long, i int, j int, n_shingles long, sketch binary"
 #: kind of a row that _buckets returns; a pair has the number of its equal sketch places as n_shingles
-_PAIR, _FULL, _STAR = 0, 1, 2
+_PAIR, _FULL, _STAR, _OPEN = 0, 1, 2, 3
 
 
 def _buckets(depth: int, percent: int):
-    """Over rows sorted by key: pairs, rows for the next depth, and members of buckets that stay full."""
+    """Over rows sorted by key: pairs, rows for the next depth, members of buckets that stay full and of full table keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: _Rows) -> Iterator[pa.RecordBatch]:
-            found = []
-            _near(rows, depth, percent, found)
+            found, opened = [], []
+            _near(rows, depth, percent, found, opened)
+            yield from (_table(x, _OPEN) for x in opened)
             if found:
                 a, b, equal = (np.concatenate(x) for x in zip(*found, strict=True))
                 both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), equal), axis=1), axis=0)
@@ -282,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     # only keys that two classes share go on
     shared = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = firsts.join(shared.hint("merge"), "key", "left_semi")
-    pairs, stars = None, None
+    pairs, stars, opened = None, None, None
     for depth in range(3):
         dealt = rows.repartition("key").sortWithinPartitions("key", "n_shingles", "id")
         out = stage(dealt.mapInArrow(_buckets(depth, percent), _FOUND), "buckets")
@@ -290,6 +305,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
         star = out.where(f"kind = {_STAR}").select("key", F.col("a").alias("id"), "n_shingles")
         pairs = got if pairs is None else pairs.union(got)
         stars = star if stars is None else stars.union(star)
+        # a table key's rows that a task cannot hold are open as well
+        left = out.where(f"kind = {_OPEN} or {depth} = 1 and kind = {_FULL}").select("key", "i", "j", F.col("a").alias("id"))
+        opened = left if opened is None else opened.union(left)
         if depth < 2:
             if full.limit(1).count() == 0:
                 break
@@ -306,7 +324,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     links = links.union(_linked(sets, rest, percent))
     labels = stage(components(links), "components")
     if stars.limit(1).count():
-        labels = _stars(plain, stage(stars, "stars"), links, labels, words, percent)
+        links, labels = _stars(plain, stage(stars, "stars"), links, labels, words, percent)
+    if opened.limit(1).count():
+        more = _opened(opened, labels, classes.select("id", "n_shingles", "sketch"), percent)
+        links = links.union(_linked(_set_table(plain, more, words), more, percent))
+        labels = stage(components(links), "components")
     classes = classes.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
@@ -345,7 +367,59 @@ def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stage(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _stars(plain: DataFrame, members: DataFrame, links: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+def _dealt(percent: int):
+    """Over rows sorted by (key, x, y): pairs of blocks x and y of one table key that may be links across components."""
+
+    def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        own, x, y, i, j, ids, size, label = (table.column(c).to_numpy() for c in ("own", "x", "y", "i", "j", "id", "n_shingles", "label"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), WIDE)
+        held = _Rows(None, i, j, ids, size, sketch)
+        keys, least, a, b = _keys(sketch).astype(np.uint32), _least(percent), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, len(ids)):
+            fits = 100 * np.minimum(size[d:], size[:-d]) >= percent * np.maximum(size[d:], size[:-d])
+            p = np.flatnonzero(fits & (label[d:] != label[:-d]) & ((x[d:] == y[d:]) | (own[d:] != own[:-d])))
+            # a pair is looked at under the first table key that it shares
+            for at, k in ((0, i), (BANDS, j)):
+                p = p[(keys[p, at : at + BANDS] == keys[p + d, at : at + BANDS]).argmax(axis=1) == k[p]]
+            p = p[(sketch[p, :SKETCH] == sketch[p + d, :SKETCH]).sum(axis=1) >= least]
+            p = p[_may_link(held, p, p + d, percent)]
+            a.append(np.minimum(ids[p], ids[p + d]))
+            b.append(np.maximum(ids[p], ids[p + d]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")], axis=1)
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1), len(cells)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and tuple(cells[low]) != last:
+                    yield compared(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last = tuple(cells[low])
+        if held:
+            yield compared(held)
+
+    return run
+
+
+def _opened(opened: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of full buckets that lie in different components and whose sketches don't rule out a link."""
+    placed = stage(opened.join(labels, "id", "left").select("key", "i", "j", "id", F.coalesce("component", "id").alias("label")), "opened")
+    mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = placed.join(mixed.select("key", "blocks"), "key").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "i", "j", "id", "n_shingles", "label", "sketch"
+    )
+    dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n_shingles", "id")
+    return stage(dealt.mapInArrow(_dealt(percent), "a long, b long").distinct(), "pairs")
+
+
+def _stars(plain: DataFrame, members: DataFrame, links: DataFrame, labels: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Round by round, one member of each full bucket is compared with the members of other components.
 
     A bucket is done when its members lie in one component or every member had its turn, so no link is lost.
@@ -362,7 +436,7 @@ def _stars(plain: DataFrame, members: DataFrame, links: DataFrame, labels: DataF
         ).where("low <> high")
         heads = stage(heads, "heads")
         if heads.limit(1).count() == 0:
-            return labels
+            return links, labels
         size, other = F.col("n_shingles"), F.col("head.n_shingles")
         pairs = (
             placed.join(heads, "key")

@@ -94,6 +94,20 @@ def test_full_buckets_lose_no_link(docs, monkeypatch):
     assert got == {k: c for k, (_, c) in enumerate(linked(texts))}
 
 
+def test_pairs_among_texts_below_the_threshold_are_found(docs, monkeypatch):
+    import basketry.llm.neardup as module
+
+    monkeypatch.setattr(module, "DEALT", 200, raising=False)
+    # 1000 texts with 80 common words, alike by 0.656 to each other, and 20 pairs alike by 0.757
+    common = [f"c{k}" for k in range(80)]
+    texts = [" ".join(common + [f"own{n}x{k}" for k in range(21)]) for n in range(1000)]
+    for n in range(20):
+        both = common + [f"pair{n}x{k}" for k in range(7)]
+        texts += [" ".join(both + [f"pair{n}{side}{k}" for k in range(14)]) for side in "ab"]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(*texts), words=1, percent=75).collect()}
+    assert got == {k: k - (k - 1000) % 2 if k >= 1000 else k for k in range(len(texts))}
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(docs):
     assert near_duplicates(docs("a").limit(0)).count() == 0
     rows = docs("a b c d e f", "a b c d e f")
