@@ -1,11 +1,15 @@
-"""Licence scan: whole texts, brought to a canonical form, are looked up by digest among known licence texts.
+"""Licence scan: whole texts and their paragraphs, lines and sentences, brought to a canonical form, are looked up by
+digest among known licence texts.
 
-The canonical form folds case, drops copyright lines and punctuation, and replaces equivalent spellings, so that
-typographic variants of a licence have one digest.
+The canonical form folds case, drops the title, copyright lines and punctuation, and replaces equivalent spellings, so
+that typographic variants of a licence have one digest.
 """
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ EQUIVALENT = {
     "programme": "program", "realise": "realize", "recognise": "recognize", "whilst": "while", "wilful": "willful",
     "copyright holder": "copyright owner", "copyright holders": "copyright owners", "per cent": "percent",
 }
+#: Full standard texts, one file by identifier.
+TEXTS = Path(__file__).with_name("licence_texts")
 #: Short notices and licence texts by identifier, as their publishers give them.
 KNOWN = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
@@ -38,19 +44,48 @@ KNOWN = {
 _COPYRIGHT = r"(?m)^[^\S\n]*(?:copyright\b(?=[^\S\n]*(?:\(c\)|©|[0-9]))|\(c\)|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """Lower-case words with one space between them, without copyright lines, in one spelling."""
-    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, " ")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+_TITLE = r"^\s*(?:the[^\S\n]+)?(?:mit|expat|isc|0bsd|(?:zero-clause|0-clause)[^\S\n]+bsd|bsd[^\S\n]+(?:zero[ -]clause|[0-4]-clause))[^\S\n]+licen[cs]e(?:[^\S\n]*\([^)\n]*\))?[^\S\n]*[.:]?[^\S\n]*\n"
+#: Marks of the ends of paragraphs, lines and sentences.
+_PARAGRAPH, _LINE, _SENTENCE = "\ue000", "\ue001", "\ue002"
+
+
+def _spelt(words: Column, changes: dict[str, str]) -> Column:
     # a word may follow itself, and both need the space between them: two passes
-    for old, new in list(EQUIVALENT.items()) * 2:
+    for old, new in list(changes.items()) * 2:
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(words)
+    return words
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _TITLE, ""), _COPYRIGHT, " ")
+
+
+def canonical(text: Column) -> Column:
+    """Lower-case words with one space between them, without a title and copyright lines, in one spelling."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(_bare(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.trim(_spelt(words, EQUIVALENT))
+
+
+def pieces(text: Column) -> Column:
+    """The canonical forms of a text's paragraphs, lines and sentences."""
+    marked = F.regexp_replace(_bare(text), f"[{_PARAGRAPH}{_LINE}{_SENTENCE}]", " ")
+    for pattern, mark in ((r"\n[^\S\n]*(?:\n\s*)+", _PARAGRAPH), (r"\n", _LINE), (r"(?<=[.!?])[^\S\n]+", _SENTENCE)):
+        marked = F.regexp_replace(marked, pattern, f" {mark} ")
+    words = F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}{_PARAGRAPH}{_LINE}{_SENTENCE}]+", " ")
+    words = _spelt(F.concat(F.lit(" "), words, F.lit(" ")), EQUIVALENT)
+    # spellings of two words, which a mark within a paragraph or line may have parted
+    apart = {k: v for k, v in EQUIVALENT.items() if " " in k}
+    joined = lambda inner: lambda p: F.trim(_spelt(F.concat(F.lit(" "), F.trim(F.regexp_replace(p, f"[ {inner}]+", " ")), F.lit(" ")), apart))
+    paragraphs = F.transform(F.split(words, _PARAGRAPH), joined(_LINE + _SENTENCE))
+    lines = F.transform(F.split(words, f"[{_PARAGRAPH}{_LINE}]"), joined(_SENTENCE))
+    sentences = F.transform(F.split(words, f"[{_PARAGRAPH}{_SENTENCE}]"), joined(_LINE))
+    return F.array_distinct(F.concat(paragraphs, lines, sentences))
 
 
 def known_licences(spark: SparkSession, folder: str | None = None) -> DataFrame:
     """(digest, licence): one row per distinct digest of the known texts, and of ``folder``/<identifier>.txt files."""
     rows = [(name, text) for name, texts in KNOWN.items() for text in texts]
+    rows += [(path.stem, path.read_text("utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
     texts = spark.createDataFrame(rows, "licence string, text string")
     if folder:
         files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("licence"), F.col("value").alias("text"))
@@ -61,11 +96,25 @@ def known_licences(spark: SparkSession, folder: str | None = None) -> DataFrame:
 def scan(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): digest of the canonical whole text, its n_words, and the licence.
 
-    ``licence`` is null where the text is no known licence, and for null, empty and wordless texts, which have a digest
-    of nothing. Of identifiers with one canonical text the smallest is given. Repeated rows get equal results. Other
-    columns are ignored.
+    ``licence`` is that of the whole text, or else of a paragraph, line or sentence that is a known text; null where
+    there is none, and for null, empty and wordless texts, which have a digest of nothing. Of several licences, or
+    identifiers with one canonical text, the smallest is given, and ``licences`` has all. Repeated rows get equal
+    results. Other columns are ignored.
     """
-    form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("form"))
-    keyed = form.select("doc_id", F.sha2("form", 256).alias("digest"), F.when(F.col("form") == "", 0).otherwise(F.size(F.split("form", " "))).cast("long").alias("n_words"))
-    known = known_licences(docs.sparkSession, folder)
-    return keyed.join(known, "digest", "left").select("doc_id", "n_words", "digest", F.when(F.col("n_words") > 0, F.col("licence")).alias("licence"))
+    form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("form"), pieces(F.col("text")).alias("pieces"))
+    # as many rows as there are known texts
+    known = {r.digest: r.licence for r in known_licences(docs.sparkSession, folder).collect()}
+    known.pop(hashlib.sha256(b"").hexdigest(), None)
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    named = lambda piece: F.try_element_at(names, F.sha2(piece, 256))
+    found = form.select(
+        "doc_id",
+        F.when(F.col("form") == "", 0).otherwise(F.size(F.split("form", " "))).cast("long").alias("n_words"),
+        F.sha2("form", 256).alias("digest"),
+        named(F.col("form")).alias("whole"),
+        F.array_compact(F.transform("pieces", named)).alias("parts"),
+    )
+    return found.select(
+        "doc_id", "n_words", "digest", F.coalesce("whole", F.array_min("parts")).alias("licence"),
+        F.sort_array(F.array_distinct(F.array_compact(F.concat(F.array("whole"), "parts")))).alias("licences"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import surrogates, winnowing
 from basketry.llm.components import components
-from basketry.llm.licences import KNOWN, scan
+from basketry.llm.licences import KNOWN, TEXTS, scan
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import PIECES, Vocabulary, decoded, encode, nbest
 from basketry.llm.quality import good_only, quality
@@ -257,6 +257,18 @@ def test_licence_texts(docs):
     assert scan(docs("a").limit(0)).count() == 0
 
 
+def test_licences_within_documents_and_full_texts(docs):
+    mit, isc = KNOWN["MIT"][1], KNOWN["ISC"][0]
+    wrapped = "some words\n\nThis work is licensed under the GNU\nGeneral Public License, version 3.\n\nmore"
+    texts = ["MIT License\n\nCopyright (c) 2020 Foo\n\n" + mit, "ISC License\n\nCopyright 2020 Foo\n\n" + isc, "Some words.\nReleased under the MIT licence\nmore words", wrapped]
+    texts += ["A line. All rights reserved. Licensed under CC BY-NC 4.0. The end", "the MIT License is one of many"]
+    texts += [p.read_text() for p in sorted(TEXTS.glob("*.txt"))]
+    got = {r.doc_id: (r.licence, r.licences) for r in scan(docs(*texts)).collect()}
+    first = [got[k][0] for k in range(len(texts))]
+    assert first == ["MIT", "ISC", "MIT", "GPL-3.0-only", "CC-BY-NC-4.0", None, "Apache-2.0", "BSD-3-Clause", "GPL-3.0-only", "MPL-2.0"]
+    assert got[4][1] == ["CC-BY-NC-4.0", "LicenseRef-all-rights-reserved"] and got[5][1] == []
+
+
 # --- pieces
 
 
