@@ -354,10 +354,13 @@ def h14(spark, d):
 def h15(spark, d):
     scores = predictions(spark, d)
     fitted, pairs, lookup, train, _ = fitted_model(spark, d)
-    targets = rc.offer_targets(train, pairs)
+    targets = stage(rc.offer_targets(train, pairs), "targets")
     stored = fz.stored_offers(fz.recommend(fitted, pairs, lookup, targets))
+    # every other user that the model knows has its own offers as well
+    others = fitted.users.select(F.col("UserId").alias("user_id")).join(targets, "user_id", "left_anti")
+    live = fz.stored_offers(fz.recommend(fitted, pairs, lookup, others), "hybrid_als")
     rules = rc.rule_offers_as_tier(rule_offers(spark, d, scores))
-    return rc.tiered_offers([stored, rules, rc.fallback_offers(scores, product_quality(spark, d))])
+    return rc.tiered_offers([stored, live, rules, rc.fallback_offers(scores, product_quality(spark, d))])
 
 
 @query("j01_known_users", "user_id:i", "SELECT user_id FROM fixture_predictions ORDER BY user_id LIMIT 200")

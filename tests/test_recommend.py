@@ -130,3 +130,16 @@ def test_offer_targets(rows):
     got = rc.offer_targets(lines, known).collect()
     assert [r["user_id"] for r in got] == [1, 2]
     assert got[0]["score"] == pytest.approx(0.45 + 0.25 + 0.10) and got[1]["score"] == 0.0
+
+
+def test_users_outside_the_stored_lists_get_the_models_own_offers(spark, monkeypatch):
+    from basketry.operators import recommend as rc
+    from basketry.plans import recommend_queries as rq
+
+    folder, whole = "/root/testdata/sf0.001", rc.offer_targets
+    monkeypatch.setattr(rc, "offer_targets", lambda lines, pairs: whole(lines, pairs, limit=10))
+    source = {r.user_id: r.source for r in rq.h15(spark, folder).select("user_id", "source").distinct().collect()}
+    known = {r.UserId for r in rq.fitted_model(spark, folder)[0].users.collect()}
+    own = {u for u, s in source.items() if s == "hybrid_als"}
+    assert sum(s == "hybrid_prebuilt" for s in source.values()) == 10 and len(known) > 10
+    assert len(own) == len(known) - 10 and own < known
