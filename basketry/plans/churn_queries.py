@@ -286,7 +286,6 @@ def g16(spark, d):
     return sn.fill_features(split_panel(spark, d))
 
 
-_BOOST_ROUNDS = 10  # the queries' boosting rounds; the operator's default is 300
 _FITTED: dict[tuple[str, str], ch.ChurnResult] = {}
 
 
@@ -294,7 +293,7 @@ def boosted(spark, d):
     """One fit for the queries of a session that show it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = ch.train_boosted(stage(sn.fill_features(split_panel(spark, d)), "filled-panel"), rounds=_BOOST_ROUNDS)
+        _FITTED[key] = ch.train_boosted(stage(sn.fill_features(split_panel(spark, d)), "filled-panel"))
     return _FITTED[key]
 
 

@@ -214,9 +214,6 @@ def i11(spark, d):
     return fc.coefficient_table(fc.fit_linear(scaled, se.MONTHLY_FEATURES), se.MONTHLY_FEATURES, spark)
 
 
-_BOOST_ROUNDS = 10  # the queries' boosting rounds; the operators' defaults are 600 and 400
-
-
 def day_split(spark, d):
     return stage(se.date_split(se.daily_model_table(day_sales(spark, d))), "days")
 
@@ -224,13 +221,13 @@ def day_split(spark, d):
 @query("i12_boosted_revenue", "order_date:d revenue:f predicted:f abs_error:f")
 def i12_revenue(spark, d):
     table = day_split(spark, d)
-    return fc.revenue_forecast(table, fc.daily_features(table), _BOOST_ROUNDS)
+    return fc.revenue_forecast(table, fc.daily_features(table))
 
 
 @query("i12_boosted_orders", "order_date:d orders_cnt:i predicted:f abs_error:f")
 def i12_orders(spark, d):
     table = day_split(spark, d)
-    return fc.orders_forecast(table, fc.daily_features(table), _BOOST_ROUNDS)
+    return fc.orders_forecast(table, fc.daily_features(table))
 
 
 @query(
