@@ -238,6 +238,25 @@ def test_quality_counts_and_verdicts(docs):
     assert quality(docs("a").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [[None], [""], [None, ""], ["\n \n"], ["", "one", None]])
+def test_quality_of_batches_without_words(docs, texts):
+    rows = quality(docs(*texts).coalesce(1)).collect()
+    assert len(rows) == len(texts) and all(r.base_failed and not r.kept and r.n_words <= 1 for r in rows)
+    assert good_only(docs(*texts)).count() == 0
+
+
+PROSE = """The city council met on Tuesday evening to discuss the proposed changes to the public transport network. Several
+residents spoke against the plan, arguing that longer routes would make it harder for older people to reach the hospital. The
+mayor said that the current system costs too much and that fewer passengers have used the buses since the new bridge opened
+last year. A decision is expected before the end of the month, although members of the opposition have asked for more time to
+study the figures."""
+
+
+def test_quality_keeps_ordinary_prose(docs):
+    rows = quality(docs(PROSE, PROSE.replace("\n", " "))).collect()
+    assert all(r.kept for r in rows)
+
+
 def test_quality_separates_labelled_texts(spark):
     folder = "/root/testdata/sf0.01"
     judged = quality(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
