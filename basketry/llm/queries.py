@@ -9,6 +9,7 @@ from basketry.llm import oracles
 from basketry.llm.licences import scan
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import encode
+from basketry.llm.prefix_trie import rebuilt_keys, trie_of_keys
 from basketry.llm.quality import quality
 from basketry.llm.shards import shard
 from basketry.llm.substrings import repeated_spans
@@ -18,7 +19,7 @@ from basketry.llm.transcripts import fit, parse, raw_transcripts
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
-ORACLES = {"op3_winnowing": oracles.WINNOWING, "op4_near_duplicates": oracles.NEAR_DUPLICATES}
+ORACLES = {"op3_winnowing": oracles.WINNOWING, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op11_prefix_trie": oracles.PREFIX_TRIE}
 
 
 def query(fn):
@@ -89,3 +90,9 @@ def op9_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns recovered from all conversations as plain logs; the model is fitted on the even conversations."""
     logs = raw_transcripts(table(spark, sf_dir, "conversations"))
     return parse(logs, fit(logs.where(F.pmod("conv_id", F.lit(2)) == 0)))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of all rebuilt conversations."""
+    return trie_of_keys(rebuilt_keys(table(spark, sf_dir, "conversations")))
