@@ -77,3 +77,23 @@ SELECT w.conv_id, w.d::bigint AS depth, u.conv_id AS parent_conv_id, w.n_convs,
 FROM weighed w JOIN sums s ON w.d = s.d AND w.prefix = s.prefix
 LEFT JOIN nodes u ON u.d = w.d - 1 AND u.prefix = w.prefix[1:w.d - 1]
 """
+
+HARD_NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.lab = a.lab AS same, list_dot_product(a.v, r.v)::bigint AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""

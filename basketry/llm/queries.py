@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import oracles
+from basketry.llm.hard_negatives import mine, quantised
 from basketry.llm.licences import scan
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import encode
@@ -19,7 +20,7 @@ from basketry.llm.transcripts import fit, parse, raw_transcripts
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
-ORACLES = {"op3_winnowing": oracles.WINNOWING, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op11_prefix_trie": oracles.PREFIX_TRIE}
+ORACLES = {"op3_winnowing": oracles.WINNOWING, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op11_prefix_trie": oracles.PREFIX_TRIE, "op12_cover_negatives": oracles.HARD_NEGATIVES}
 
 
 def query(fn):
@@ -96,3 +97,9 @@ def op9_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix of all rebuilt conversations."""
     return trie_of_keys(rebuilt_keys(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_cover_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding among all embeddings."""
+    return mine(quantised(table(spark, sf_dir, "embeddings")))
