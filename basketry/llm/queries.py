@@ -13,6 +13,7 @@ from basketry.llm.pieces import encode
 from basketry.llm.prefix_trie import rebuilt_keys, trie_of_keys
 from basketry.llm.quality import quality
 from basketry.llm.shards import shard
+from basketry.llm.simhash import simhash_duplicates
 from basketry.llm.substrings import repeated_spans
 from basketry.llm.surrogates import pseudonymise
 from basketry.llm.templates import extract
@@ -103,3 +104,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_cover_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth embedding among all embeddings."""
     return mine(quantised(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op13_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicate classes of all documents."""
+    return simhash_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)

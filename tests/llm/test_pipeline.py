@@ -46,5 +46,5 @@ def test_banding_finds_pairs_at_the_pipelines_threshold():
 
 def test_queries_are_registered():
     queries = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{k}" for k in range(1, 13)}
+    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in queries
