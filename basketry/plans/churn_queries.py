@@ -13,7 +13,7 @@ from basketry.plans.catalog import mode_sql, query, view
 from basketry.plans.customers_queries import FIXTURE_EVENT_TYPES, customer_profile
 from basketry.plans.derived_queries import FIXTURE_NEGATIVE, FIXTURE_POSITIVE, review_sql
 from basketry.session import stage
-from basketry.sources.tables import event_log, load, order_items
+from basketry.sources.tables import event_log, load, order_items, stamp
 
 PANEL_INPUTS = [
     "order_id", "user_id", "product_id", "category", "brand", "age", "gender", "state", "traffic_source", "is_loyal", "status",
@@ -286,12 +286,12 @@ def g16(spark, d):
     return sn.fill_features(split_panel(spark, d))
 
 
-_FITTED: dict[tuple[str, str], ch.ChurnResult] = {}
+_FITTED: dict[tuple, ch.ChurnResult] = {}
 
 
 def boosted(spark, d):
-    """One fit for the queries of a session that show it."""
-    key = (spark.sparkContext.applicationId, d)
+    """One fit for the queries of a session that show it; another after a table was written again."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, ["lineitem", "orders", "customer", "part", "nation", "region", "events"]))
     if key not in _FITTED:
         _FITTED[key] = ch.train_boosted(stage(sn.fill_features(split_panel(spark, d)), "filled-panel"))
     return _FITTED[key]

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators import churn, factorization, products, rank_eval, recommend, sales, segments, series, snapshots
+from basketry.operators import churn, collective, factorization, products, rank_eval, recommend, sales, segments, series, snapshots
 from basketry.operators import customers as cu
 from basketry.operators.cleaning import parse_numbers, parse_times, repair_texts
 from basketry.operators.derive import enrich_orders
@@ -75,9 +75,9 @@ def recommender(spark: SparkSession, orders: str, out: str, n: int = 10, users:
     user_info = stage(factorization.user_side(train), "user-side")
     item_info, lookup = factorization.item_side(train)
     item_info = stage(item_info, "item-side")
-    fitted = factorization.fit_factorization(pairs, user_info, item_info, **model)
-    held_out = factorization.recommend(fitted, pairs, lookup, test.select("user_id").distinct(), n)
-    production = factorization.recommend(fitted, pairs, lookup, recommend.offer_targets(train, pairs, users), n)
+    fitted = collective.fit_collective(pairs, user_info, item_info, **model)
+    held_out, _ = collective.recommend(fitted, pairs, lookup, test.select("user_id").distinct(), n, user_info)
+    production, _ = collective.recommend(fitted, pairs, lookup, recommend.offer_targets(train, pairs, users), n, user_info)
     held_out = stage(held_out, "held-out")
     folders = publish.publish_tables(
         {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.operators import churn as ch
+from basketry.operators import collective as co
 from basketry.operators import customers as cu
 from basketry.operators import factorization as fz
 from basketry.operators import lookups as lk
@@ -17,6 +18,7 @@ from basketry.plans.customers_queries import customer_profile, enriched
 from basketry.plans.marts_queries import fixture_predictions
 from basketry.plans.products_queries import PRODUCT_INPUTS, product_quality
 from basketry.session import stage
+from basketry.sources.tables import stamp
 
 RULE_INPUTS = ["order_id", "user_id", *PRODUCT_INPUTS]
 _ORDER = "quality_risk, round(revenue, 6) DESC, round(avg_margin, 6) DESC, product_id"
@@ -211,27 +213,40 @@ _FITTED = {}
 
 
 def fitted_model(spark, d):
-    """One fit for the queries of a session that show it."""
-    key = (spark.sparkContext.applicationId, d)
+    """One fit for the queries of a session that show it; another after a table was written again."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, MODEL_TABLES))
     if key not in _FITTED:
         _FITTED[key] = _fit(spark, d)
     return _FITTED[key]
 
 
+MODEL_TABLES = ["lineitem", "orders", "customer", "part", "nation", "region"]
+
+
 def _fit(spark, d):
     train, test = rc.temporal_split(enriched(spark, d, *dict.fromkeys([*USER_INPUTS, *ITEM_INPUTS])))
     train = stage(train, "train")
     pairs = stage(fz.interactions(train), "pairs")
     items, lookup = fz.item_side(train)
-    fitted = fz.fit_factorization(pairs, stage(fz.user_side(train), "user-side"), stage(items, "item-side"))
-    return fitted, pairs, lookup, train, test
+    users, items = stage(fz.user_side(train), "user-side"), stage(items, "item-side")
+    return co.fit_collective(pairs, users, items), pairs, lookup, train, test, users, items
 
 
 @query("h08_factorization", "ItemId:i strength:f")
 def h08(spark, d):
-    fitted = fitted_model(spark, d)[0]
-    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
-    return fitted.model.itemFactors.join(fitted.items, F.col("id") == F.col("i")).select("ItemId", norm.alias("strength"))
+    """Length of every item's shared factors in the collective factorization."""
+    model = fitted_model(spark, d)[0]
+    shared = F.slice("f", model.item_side.own + 1, model.shared)
+    return model.items.select("ItemId", F.sqrt(F.aggregate(shared, F.lit(0.0), lambda a, x: a + x * x)).alias("strength"))
+
+
+@query("h08_attribute_factors", "entity:s attribute:s strength:f")
+def h08_attributes(spark, d):
+    """Length of every attribute's factors."""
+    model = fitted_model(spark, d)[0]
+    sides = (("user", model.user_side), ("item", model.item_side))
+    rows = [(kind, name, float((f**2).sum() ** 0.5)) for kind, side in sides for name, f in zip(side.names, side.factors, strict=True)]
+    return spark.createDataFrame(rows, "entity string, attribute string, strength double")
 
 
 MODEL_SPEC = "user_id:i rank:i recommended_product_id:i score:f product_name:s category:s brand:s item_quality_risk:f"
@@ -239,8 +254,15 @@ MODEL_SPEC = "user_id:i rank:i recommended_product_id:i score:f product_name:s c
 
 @query("h09_model_recommendations", MODEL_SPEC)
 def h09(spark, d):
-    fitted, pairs, lookup, train, _ = fitted_model(spark, d)
-    return fz.recommend(fitted, pairs, lookup, rc.offer_targets(train, pairs))
+    model, pairs, lookup, train, *_ = fitted_model(spark, d)
+    return co.recommend(model, pairs, lookup, rc.offer_targets(train, pairs))[0]
+
+
+@query("h09_skipped_blocks", "users:i blocks:i visited:i skipped_share:f")
+def h09_skipped(spark, d):
+    """How many blocks of items the users of the model look at for their exact lists."""
+    model, pairs, lookup, *_ = fitted_model(spark, d)
+    return co.recommend(model, pairs, lookup, model.users.select(F.col("UserId").alias("user_id")))[1]
 
 
 @query(
@@ -249,7 +271,19 @@ def h09(spark, d):
     "category_precision_at_k:f category_recall_at_k:f category_mrr_at_k:f",
 )
 def h09_metrics(spark, d):
-    fitted, pairs, lookup, _, test = fitted_model(spark, d)
+    model, pairs, lookup, _, test, *_ = fitted_model(spark, d)
+    return re_.rank_metrics(co.recommend(model, pairs, lookup, test.select("user_id").distinct())[0], test)
+
+
+@query(
+    "h09_pseudo_row_rank_metrics",
+    "evaluated_users:i k:i product_hit_rate_at_k:f product_precision_at_k:f product_recall_at_k:f product_mrr_at_k:f category_hit_rate_at_k:f "
+    "category_precision_at_k:f category_recall_at_k:f category_mrr_at_k:f",
+)
+def h09_pseudo_rows(spark, d):
+    """The same measures for alternating least squares with attributes as extra interactions, for comparison."""
+    _, pairs, lookup, _, test, users, items = fitted_model(spark, d)
+    fitted = fz.fit_factorization(pairs, users, items)
     return re_.rank_metrics(fz.recommend(fitted, pairs, lookup, test.select("user_id").distinct()), test)
 
 
@@ -353,12 +387,12 @@ def h14(spark, d):
 @query("h15_tiered_offers", "user_id:i rank:i recommended_product_id:i product_name:s category:s brand:s score:f item_quality_risk:f source:s")
 def h15(spark, d):
     scores = predictions(spark, d)
-    fitted, pairs, lookup, train, _ = fitted_model(spark, d)
+    model, pairs, lookup, train, *_ = fitted_model(spark, d)
     targets = stage(rc.offer_targets(train, pairs), "targets")
-    stored = fz.stored_offers(fz.recommend(fitted, pairs, lookup, targets))
+    stored = fz.stored_offers(co.recommend(model, pairs, lookup, targets)[0])
     # every other user that the model knows has its own offers as well
-    others = fitted.users.select(F.col("UserId").alias("user_id")).join(targets, "user_id", "left_anti")
-    live = fz.stored_offers(fz.recommend(fitted, pairs, lookup, others), "hybrid_als")
+    others = model.users.select(F.col("UserId").alias("user_id")).join(targets, "user_id", "left_anti")
+    live = fz.stored_offers(co.recommend(model, pairs, lookup, others)[0], "hybrid_als")
     rules = rc.rule_offers_as_tier(rule_offers(spark, d, scores))
     return rc.tiered_offers([stored, live, rules, rc.fallback_offers(scores, product_quality(spark, d))])
 

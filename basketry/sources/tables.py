@@ -6,7 +6,7 @@ clickstream events). Only the source tables that the asked-for columns need are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+def stamp(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> tuple:
+    """The files of some tables by number, size and newest change: a new one where a table was written again."""
+    files = spark.read.parquet(*[f"{sf_dir}/{n}.parquet" for n in names[:1]]).select("_metadata.*")
+    for n in names[1:]:
+        files = files.union(spark.read.parquet(f"{sf_dir}/{n}.parquet").select("_metadata.*"))
+    per_file = files.select("file_path", "file_size", "file_modification_time").distinct()
+    return tuple(per_file.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time")).first())
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute an input that reads as fewer tasks than there are cores.
 
