@@ -297,6 +297,33 @@ def boosted(spark, d):
     return _FITTED[key]
 
 
+_TEXTS = ["favorite_category", "favorite_brand", "traffic_source", "gender", "state", "favorite_event_type"]
+
+
+def _ordered_sql(c):
+    place = "md5(user_id || ':' || strftime(snapshot_date, '%Y-%m-%d') || ':42')"
+    earlier = f"OVER (PARTITION BY is_train, {c} ORDER BY {place} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER (PARTITION BY {c})"
+    return (
+        f"CASE WHEN is_train THEN (coalesce(sum(churn_target) {earlier}, 0) + 0.5) / (count(*) {earlier} + 1) "
+        f"ELSE (coalesce(sum(churn_target) FILTER (is_train) {whole}, 0) + 0.5) / (count(*) FILTER (is_train) {whole} + 1) END AS {c}_t"
+    )
+
+
+@query(
+    "g17_ordered_statistics",
+    "snapshot_date:d user_id:i is_train:b " + " ".join(f"{c}_t:f" for c in _TEXTS),
+    "WITH p AS (SELECT snapshot_date, user_id, churn_target, snapshot_date < cut AS is_train, "
+    + ", ".join(f"coalesce({c}, 'Unknown') AS {c}" for c in _TEXTS)
+    + " FROM panel, panel_cut) SELECT snapshot_date, user_id, is_train, "
+    + ", ".join(_ordered_sql(c) for c in _TEXTS)
+    + " FROM p",
+)
+def g17_ordered(spark, d):
+    """Categories as the mean labels of earlier rows, in the order the boosted model sees them."""
+    return ch.encoded_categories(stage(sn.fill_features(split_panel(spark, d)), "filled-panel"))
+
+
 @query("g17_boosted_churn", "snapshot_date:d user_id:i churn_target:i churn_probability:f")
 def g17(spark, d):
     return boosted(spark, d).scored_validation
@@ -307,6 +334,12 @@ def g18(spark, d):
     return ch.train_baseline(sn.fill_features(split_panel(spark, d)))
 
 
+@query("g20_tree_nodes", "tree:i weight:f node:i left:i right:i feature:i value:f rows:i")
+def g20_nodes(spark, d):
+    """The boosted model's trees as a table."""
+    return boosted(spark, d).nodes
+
+
 @query("g20_feature_importance", "feature:s importance:f")
 def g20(spark, d):
     return boosted(spark, d).importance
