@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["derived", "customers", "segments", "products", "marts", "profiling", "cleaning", "series", "churn", "recommend", "clusters"]
+AREAS = ["derived", "customers", "segments", "products", "marts", "profiling", "cleaning", "series", "churn", "recommend", "clusters", "lifecycle"]
 
 
 def load_catalog():
