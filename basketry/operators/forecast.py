@@ -9,6 +9,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.scalars import attach_row
+from basketry.operators.ridge import predicted
 from basketry.operators.series import WEEKLY_FEATURES, expanding_folds, with_abs_error
 from basketry.session import keep_lineage_short, stage
 
@@ -174,28 +176,34 @@ def next_week_features(weekly: DataFrame, measure: str = "items", keys: Sequence
     return recent.select(*keys, date.alias("date"), *[col.alias(name) for name, col in inputs.items()])
 
 
-def next_week_forecast(model, weekly: DataFrame, measure: str = "items", keys: Sequence[str] = ()) -> DataFrame:
-    return _predict(model, next_week_features(weekly, measure, keys), WEEKLY_FEATURES, "predicted_items_next_week", [*keys, "date"])
+def with_fits(df: DataFrame, fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a series beside its fit; without keys there is one fit."""
+    return df.join(fits, list(keys)) if keys else attach_row(df, fits)
 
 
-def recursive_forecast(model, weekly: DataFrame, horizon: int = 8, measure: str = "items", keys: Sequence[str] = ()) -> DataFrame:
+def next_week_forecast(fits: DataFrame, weekly: DataFrame, measure: str = "items", keys: Sequence[str] = ()) -> DataFrame:
+    """The week after the last one by ridge_by_series() on the weekly features."""
+    found = with_fits(next_week_features(weekly, measure, keys), fits, keys)
+    return found.select(*keys, "date", predicted(WEEKLY_FEATURES).alias("predicted_items_next_week"))
+
+
+def recursive_forecast(fits: DataFrame, weekly: DataFrame, horizon: int = 8, measure: str = "items", keys: Sequence[str] = ()) -> DataFrame:
     """Forecast week by week, each prediction feeding the next one's lags and means.
 
-    The recursion is an array fold inside the row of its series: the last twelve values go
-    in, ``horizon`` predictions come out. The time index goes on from the full history.
+    ``fits`` are those of ridge_by_series() on the weekly features, one for each series. The recursion is an array fold
+    inside the row of its series: the last twelve values go in, ``horizon`` predictions come out. The time index goes on
+    from the full history.
     """
-    weights = dict(zip(WEEKLY_FEATURES, map(float, model.coefficients)))
-    intercept = float(model.intercept)
 
     def step(history: Column, i: Column) -> Column:
         date = F.date_add(F.col("_last"), (i * 7).cast("int"))
         inputs = _weekly_inputs(history, date, F.col("_n") + i - 1)
-        value = F.lit(intercept)
-        for name, col in inputs.items():
-            value = value + F.lit(weights[name]) * col
+        value = F.col("intercept")
+        for j, name in enumerate(WEEKLY_FEATURES):
+            value = value + F.col("weights")[j] * (inputs[name] - F.col("middle")[j]) / F.col("scale")[j]
         return F.concat(history, F.array(value))
 
-    recent = recent_history(weekly, measure, keys)
+    recent = with_fits(recent_history(weekly, measure, keys), fits, keys)
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_history"), step)
     ahead = recent.select(*keys, "_last", F.posexplode(F.slice(path, -horizon, horizon)).alias("_i", "forecast_items"))
     return ahead.select(*keys, F.date_add("_last", ((F.col("_i") + 1) * 7).cast("int")).alias("date"), "forecast_items")

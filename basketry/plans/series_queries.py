@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import forecast as fc
 from basketry.operators import sales as sa
+from basketry.operators import ridge as rg
 from basketry.operators import series as se
 from basketry.plans.catalog import query, view
 from basketry.plans.customers_queries import sales
@@ -201,10 +202,85 @@ def i10(spark, d):
     return fc.out_of_fold(month_model(spark, d), se.MONTHLY_FEATURES, ["linear", "ridge"], reduced=se.REDUCED_FEATURES)
 
 
-@query("i10_weekly_ridge_by_state", "state:s date:d fold:i target:f ridge_pred:f")
+def _ridge_sql(source, keys, features, scaled=True, folds=True):
+    """CTE ``fit`` (keys, f, middle, scale, weights, intercept) over ``source``, by elimination on the normal equations."""
+    p = len(features)
+    key = [*keys, "f"]
+    on = " AND ".join([*[f"o.{k} = s.{k}" for k in keys], "s.fold < o.f"]) if folds else " AND ".join([f"o.{k} = s.{k}" for k in keys] or ["true"])
+    groups = f"SELECT DISTINCT {', '.join([*keys, 'fold AS f'])} FROM {source} WHERE fold > 0" if folds else f"SELECT DISTINCT {', '.join([*keys, '0 AS f'])} FROM {source}"
+    scale = [f"CASE WHEN stddev_pop(s.{c}) > 0 THEN stddev_pop(s.{c}) ELSE 1 END" if scaled else "1.0" for c in features]
+    rows = ", ".join(
+        "[" + ", ".join([f"n * c{min(i, j)}_{max(i, j)} / (scale[{i + 1}] * scale[{j + 1}]) + {1 if i == j else 0}.0" for j in range(p)] + [f"n * r{i} / scale[{i + 1}]"]) + "]"
+        for i in range(p)
+    )
+    covariances = ", ".join([f"covar_pop(s.{features[i]}, s.{features[j]}) AS c{i}_{j}" for i in range(p) for j in range(i, p)] + [f"covar_pop(s.{c}, s.target) AS r{i}" for i, c in enumerate(features)])
+    return f"""
+WITH RECURSIVE o AS ({groups}),
+  m AS (SELECT {", ".join("o." + k for k in key)}, count(*) AS n, avg(s.target) AS intercept, [{", ".join(f"avg(s.{c})" for c in features)}] AS middle,
+    [{", ".join(scale)}] AS scale, {covariances} FROM o JOIN {source} s ON {on} GROUP BY {", ".join("o." + k for k in key)}),
+  e AS (SELECT {", ".join(key)}, 1 AS k, [{rows}] AS mat FROM m
+    UNION ALL SELECT {", ".join(key)}, k + 1, list_transform(mat, lambda row, i: CASE WHEN i = k THEN list_transform(mat[k], lambda x: x / mat[k][k])
+      ELSE list_transform(row, lambda x, j: x - row[k] * (mat[k][j] / mat[k][k])) END) FROM e WHERE k <= {p}),
+  fit AS (SELECT m.*, list_transform(mat, lambda row: row[{p + 1}]) AS weights FROM m JOIN e ON {" AND ".join(f"e.{k} = m.{k}" for k in key)} WHERE k = {p + 1})"""
+
+
+def _predicted_sql(features, row="t."):
+    return " + ".join(["intercept", *[f"weights[{j + 1}] * ({row}{c} - middle[{j + 1}]) / scale[{j + 1}]" for j, c in enumerate(features)]])
+
+
+def _oof_sql(source, keys, features):
+    on = " AND ".join([*[f"fit.{k} = t.{k}" for k in keys], "fit.f = t.fold"])
+    return f"{_ridge_sql(source, keys, features)} SELECT t.*, {_predicted_sql(features)} AS ridge_pred FROM {source} t LEFT JOIN fit ON {on} WHERE t.fold > 0"
+
+
+@query("i10_monthly_ridge", "date:d fold:i target:f ridge_pred:f", _oof_sql("month_folds", [], se.REDUCED_FEATURES))
+def i10_monthly(spark, d):
+    """Out-of-fold ridge predictions of the monthly table, the fits of all folds from one aggregation."""
+    return rg.ridge_out_of_fold(stage(se.expanding_folds(month_model(spark, d)), "folds"), [], se.REDUCED_FEATURES)
+
+
+view(
+    "state_weeks",
+    """
+WITH s AS (SELECT state, CAST(created_at AS DATE) AS date, count(*) AS items FROM order_items WHERE status <> 'Cancelled' GROUP BY ALL),
+  g AS (SELECT state, unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM s GROUP BY state)
+SELECT state, CAST(date_trunc('week', date) AS DATE) + 6 AS date, CAST(sum(coalesce(items, 0)) AS DOUBLE) AS target FROM g LEFT JOIN s USING (state, date) GROUP BY ALL
+""",
+)
+view(
+    "state_week_model",
+    """
+SELECT * FROM (SELECT *, month(date) AS month, quarter(date) AS quarter, row_number() OVER o - 1 AS time_idx, lag(target, 1) OVER o AS lag_1,
+  lag(target, 4) OVER o AS lag_4, lag(target, 12) OVER o AS lag_12,
+  avg(target) OVER (PARTITION BY state ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS rolling_mean_4,
+  avg(target) OVER (PARTITION BY state ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS rolling_mean_12
+  FROM state_weeks WINDOW o AS (PARTITION BY state ORDER BY date)) WHERE time_idx >= 12
+""",
+)
+view(
+    "state_week_folds",
+    "SELECT *, CASE WHEN i >= n - 5 * (n // 6) THEN (i - (n - 5 * (n // 6))) // (n // 6) + 1 ELSE 0 END AS fold FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY state ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY state) AS n FROM state_week_model)",
+)
+
+
+@query("i10_weekly_ridge_by_state", "state:s date:d fold:i target:f ridge_pred:f", _oof_sql("state_week_folds", ["state"], se.WEEKLY_FEATURES))
 def i10_by_state(spark, d):
+    """Out-of-fold predictions of every state by a ridge of its own."""
     weekly = sa.resample(full_days(spark, d, ["state"]), "week", ["state"])
-    return fc.out_of_fold(se.weekly_model_table(weekly, keys=["state"]), se.WEEKLY_FEATURES, ["ridge"], keys=["state"])
+    folded = stage(se.expanding_folds(se.weekly_model_table(weekly, keys=["state"]), "date", ["state"]), "folds")
+    return rg.ridge_out_of_fold(folded, ["state"], se.WEEKLY_FEATURES)
+
+
+@query(
+    "i11_ridge_coefficients",
+    "feature:s coefficient:f",
+    _ridge_sql("month_model", [], se.REDUCED_FEATURES, folds=False)
+    + f" SELECT unnest([{', '.join(repr(c) for c in se.REDUCED_FEATURES)}]) AS feature, unnest(weights) AS coefficient FROM fit",
+)
+def i11_ridge(spark, d):
+    """Standardised ridge coefficients of the monthly table."""
+    return rg.coefficients(rg.ridge_by_series(month_model(spark, d), [], se.REDUCED_FEATURES), [], se.REDUCED_FEATURES)
 
 
 @query("i11_coefficients", "feature:s coefficient:f")
@@ -251,25 +327,47 @@ def i14(spark, d):
 
 def weekly_ridge(spark, d, keys=()):
     weekly = stage(sa.resample(full_days(spark, d, keys), "week", keys), "weeks")
-    return fc.fit_ridge(stage(se.weekly_model_table(weekly, keys=keys), "weeks"), se.WEEKLY_FEATURES), weekly
+    return stage(rg.ridge_by_series(se.weekly_model_table(weekly, keys=keys), keys, se.WEEKLY_FEATURES, scaled=False), "fits"), weekly
+
+
+def _ahead_sql(weeks, model, keys, horizon):
+    """The next weeks of every series, each from the list of values so far."""
+    by = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    lead = "".join(f"{k}, " for k in keys)
+    join = " AND ".join(f"fit.{k} = h.{k}" for k in keys) or "true"
+    mean = lambda n: f"list_avg(v[-{n}:])"
+    inputs = {
+        "lag_1": "v[-1]", "lag_4": "v[-4]", "lag_12": "v[-12]", "rolling_mean_4": mean(4), "rolling_mean_12": mean(12), "month": "month(day + 7)",
+        "quarter": "quarter(day + 7)", "time_idx": "len(v)",
+    }
+    value = " + ".join(["intercept", *[f"weights[{j + 1}] * ({inputs[c]} - middle[{j + 1}]) / scale[{j + 1}]" for j, c in enumerate(se.WEEKLY_FEATURES)]])
+    return f"""{_ridge_sql(model, keys, se.WEEKLY_FEATURES, scaled=False, folds=False)},
+  h AS (SELECT {lead}list(target ORDER BY date) AS v, max(date) AS day FROM {weeks} GROUP BY {", ".join(keys) or "()"}),
+  ahead AS (SELECT {"".join(f"h.{k}, " for k in keys)}0 AS i, v, day, intercept, weights, middle, scale FROM h JOIN fit ON {join}
+    UNION ALL SELECT {lead}i + 1, list_append(v, {value}), CAST(day + 7 AS DATE), intercept, weights, middle, scale FROM ahead WHERE i < {horizon})
+SELECT {lead}day AS date, v[-1] AS forecast_items, v[-1] AS predicted_items_next_week FROM ahead WHERE i > 0"""
+
+
+view("week_targets", "SELECT date, CAST(items AS DOUBLE) AS target FROM week_series")
 
 
-@query("i15_recursive_forecast", "date:d forecast_items:f")
+@query("i15_recursive_forecast", "date:d forecast_items:f", _ahead_sql("week_targets", "week_model", [], 8))
 def i15(spark, d):
-    model, weekly = weekly_ridge(spark, d)
-    return fc.recursive_forecast(model, weekly)
+    fits, weekly = weekly_ridge(spark, d)
+    return fc.recursive_forecast(fits, weekly)
 
 
-@query("i15_recursive_forecast_by_state", "state:s date:d forecast_items:f")
+@query("i15_recursive_forecast_by_state", "state:s date:d forecast_items:f", _ahead_sql("state_weeks", "state_week_model", ["state"], 8))
 def i15_by_state(spark, d):
-    model, weekly = weekly_ridge(spark, d, ["state"])
-    return fc.recursive_forecast(model, weekly, keys=["state"])
+    """Eight weeks of every state from its own ridge and its own history."""
+    fits, weekly = weekly_ridge(spark, d, ["state"])
+    return fc.recursive_forecast(fits, weekly, keys=["state"])
 
 
-@query("i16_next_week_forecast", "date:d predicted_items_next_week:f")
+@query("i16_next_week_forecast", "date:d predicted_items_next_week:f", _ahead_sql("week_targets", "week_model", [], 1))
 def i16(spark, d):
-    model, weekly = weekly_ridge(spark, d)
-    return fc.next_week_forecast(model, weekly)
+    fits, weekly = weekly_ridge(spark, d)
+    return fc.next_week_forecast(fits, weekly)
 
 
 @query(
