@@ -2,10 +2,12 @@
 
 Two collections of ``BANDS`` keys, each from ``ROWS`` minhashes, are paired into BANDS x BANDS table keys of
 2 x ROWS minhashes each, so 2 x BANDS x ROWS minhashes do the work of BANDS^2 x 2 x ROWS. Texts with the same
-shingle set are one class from the start. Rows are dealt out by the first key and paired with the second inside
-the task; buckets that are too full move to longer keys, and what does not fit a task even then is compared star
-by star. Full buckets whose texts are not of one component then are dealt out by blocks, and all their pairs of
-different components looked at, so that no pair that shares a table key is passed over.
+shingle set are one class from the start. Only ids are dealt out by the keys of the first collection; a key that two
+classes share is a bucket, whose members get their sketches and are paired by the second collection inside the task.
+
+Buckets of many copies are not written out as pairs. First each bucket gives a spanning forest of its likeliest links;
+what the full sets confirm joins components. Buckets whose members lie in several components give another forest across
+them, and in the end all pairs across components that a table key shares, so that none is passed over.
 """
 
 from __future__ import annotations
@@ -22,16 +24,16 @@ from basketry.llm.components import components
 from basketry.session import stage
 
 BANDS, ROWS = 18, 4
-#: Minhashes of the table keys, and as many for the longer keys of full buckets.
+#: Minhashes of the table keys, and as many more to tell how alike two texts are.
 KEYED = 2 * BANDS * ROWS
 SKETCH = 2 * KEYED
 #: Shingles are counted in so many classes, in half a byte each: the sum of the smaller counts bounds an intersection.
 CLASSES = 128
 WIDE = SKETCH + CLASSES // 2
-#: A bucket up to this size is compared pair by pair, others get longer keys; a task holds buckets of up to HELD rows.
+#: Buckets up to this size are compared together; larger ones each by itself, in blocks of about HELD members.
 SMALL, HELD = 64, 2000
-#: Members of a full bucket are dealt out in blocks of about so many; a task compares the pairs of two blocks at a time.
-DEALT = 1000
+#: The first forests are made from the buckets of so many keys of the first collection.
+FIRST_BANDS = 6
 _SEEDS = H.mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -77,12 +79,12 @@ def _sketches(words: int):
 
 
 def _keys(sketch: np.ndarray) -> np.ndarray:
-    """The 4 x BANDS keys of each sketch: first and second collection, then those of the longer keys."""
+    """The keys of each sketch, BANDS of the first collection and BANDS of the second; more are not used."""
     return np.ascontiguousarray(sketch[:, :SKETCH]).view(np.uint32).astype(np.uint64)
 
 
 def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text and key of the first collection."""
+    """One narrow row per class and key of the first collection."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -91,50 +93,34 @@ def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _keys(sketch)[:, :BANDS]
         for i in range(BANDS):
             key = H.mix(keys[:, i] * np.uint64(64) + np.uint64(i))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, -1, np.int32)), batch.column("id"), batch.column("n_shingles"), batch.column("sketch")],
-                ["key", "i", "j", "id", "n_shingles", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(n, i, np.int32)), batch.column("id")], ["key", "band", "id"])
 
 
 class _Rows:
-    """Columns of bucket members as arrays."""
+    """Members of buckets as arrays, sorted by bucket; ``own`` is the component of each."""
 
-    def __init__(self, key, i, j, ids, size, sketch):
-        self.key, self.i, self.j, self.ids, self.size, self.sketch = key, i, j, ids, size, sketch
+    def __init__(self, cell, ids, size, own, sketch):
+        self.cell, self.ids, self.size, self.own, self.sketch = cell, ids, size, own, sketch
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Rows:
-        arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "id", "n_shingles")]
-        return cls(*arrays, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, WIDE))
+        key, block = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("key", "block"))
+        arrays = [batch.column(c).to_numpy() for c in ("id", "n_shingles", "own")]
+        return cls(H.mix(key ^ H.mix(block)), *arrays, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, WIDE))
 
     def take(self, at) -> _Rows:
-        return _Rows(*(x[at] for x in (self.key, self.i, self.j, self.ids, self.size, self.sketch)))
+        return _Rows(*(x[at] for x in (self.cell, self.ids, self.size, self.own, self.sketch)))
 
     @staticmethod
     def join(parts: list[_Rows]) -> _Rows:
-        return _Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "i", "j", "ids", "size", "sketch")))
+        return _Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("cell", "ids", "size", "own", "sketch")))
 
     def runs(self) -> np.ndarray:
-        """Size of each row's bucket; rows are sorted by key."""
-        cuts = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
-        length = np.diff(np.append(cuts, len(self.key)))
+        """Size of each row's bucket."""
+        cuts = np.flatnonzero(np.concatenate(([True], self.cell[1:] != self.cell[:-1]))) if len(self.cell) else np.zeros(0, np.int64)
+        length = np.diff(np.append(cuts, len(self.cell)))
         return np.repeat(length, length)
 
-    def longer(self, depth: int) -> list[_Rows]:
-        """The rows under their longer keys, sorted: of each second-collection key, or with both further keys."""
-        keys, out = _keys(self.sketch), []
-        for j in range(BANDS) if depth == 0 else [None]:
-            if depth == 0:
-                key, at = H.mix(self.key.view(np.uint64) ^ H.mix(keys[:, BANDS + j] * np.uint64(64) + np.uint64(j))), np.full(len(self.key), j, np.int32)
-            else:
-                rows = np.arange(len(self.key))
-                more = keys[rows, 2 * BANDS + self.i] * np.uint64(0x100000000) + keys[rows, 3 * BANDS + self.j]
-                key, at = H.mix(self.key.view(np.uint64) ^ H.mix(more)), self.j
-            order = np.argsort(key.view(np.int64), kind="stable")
-            out.append(_Rows(key.view(np.int64), self.i, at, self.ids, self.size, self.sketch).take(order))
-        return out
-
 
 def _may_link(rows: _Rows, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """False where the counts by class show that too few shingles can be common."""
@@ -151,101 +137,84 @@ def _least(percent: int) -> float:
     return SKETCH * (share - 6 * (share * (1 - share) / SKETCH) ** 0.5)
 
 
-def _near(rows: _Rows, depth: int, percent: int, found: list, opened: list) -> None:
-    """Pairs whose sketches don't rule out a link, with the number of equal places, to ``found``.
-
-    Members of buckets of a table key that are too full for that go to ``opened`` too.
-    """
-    if len(rows.key) < 2:
-        return
-    length = rows.runs()
-    most = HELD if depth == 2 else SMALL
-    small = rows.take((length > 1) & (length <= most))
-    if len(small.key):
-        least = _least(percent)
-        seconds = _keys(small.sketch)[:, BANDS : 2 * BANDS]
-        for d in range(1, int(small.runs().max())):
-            x = np.flatnonzero(small.key[d:] == small.key[:-d])
-            if depth == 0 and len(x):
-                x = x[(seconds[x] == seconds[x + d]).any(axis=1)]
-            if len(x):
-                low, high = np.minimum(small.size[x], small.size[x + d]), np.maximum(small.size[x], small.size[x + d])
-                x = x[100 * low >= percent * high]
-                equal = (small.sketch[x, :SKETCH] == small.sketch[x + d, :SKETCH]).sum(axis=1)
-                x, equal = x[equal >= least], equal[equal >= least]
-                fits = _may_link(small, x, x + d, percent)
-                x, equal = x[fits], equal[fits]
-                found.append((small.ids[x], small.ids[x + d], equal))
-    if (full := length > most).any():
-        held = rows.take(full)
-        if depth == 1:
-            opened.append(held)
-        for more in held.longer(depth):
-            _near(more, depth + 1, percent, found, opened)
-
-
-def _table(rows: _Rows, kind: int) -> pa.RecordBatch:
-    n = len(rows.ids)
-    sketch = pa.nulls(n, pa.binary()) if kind == _OPEN else pa.array([x.tobytes() for x in rows.sketch], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(rows.ids), pa.nulls(n, pa.int64()), pa.array(rows.key), pa.array(rows.i), pa.array(rows.j), pa.array(rows.size), sketch],
-        ["kind", "a", "b", "key", "i", "j", "n_shingles", "sketch"],
-    )
-
-
-_FOUND = "kind int, a long, b long, key long, i int, j int, n_shingles long, sketch binary"
-#: kind of a row that _buckets returns; a pair has the number of its equal sketch places as n_shingles
-_PAIR, _FULL, _STAR, _OPEN = 0, 1, 2, 3
+def _candidates(rows: _Rows, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of one bucket, but not of one component, that share a table key and whose sketches don't rule out a link."""
+    least, found = _least(percent), [(np.zeros(0, np.int64),) * 3]
+    seconds = _keys(rows.sketch)[:, BANDS : 2 * BANDS]
+    for d in range(1, int(rows.runs().max(initial=1))):
+        x = np.flatnonzero((rows.cell[d:] == rows.cell[:-d]) & (rows.own[d:] != rows.own[:-d]))
+        low, high = np.minimum(rows.size[x], rows.size[x + d]), np.maximum(rows.size[x], rows.size[x + d])
+        x = x[100 * low >= percent * high]
+        if len(x):
+            x = x[(seconds[x] == seconds[x + d]).any(axis=1)]
+            equal = (rows.sketch[x, :SKETCH] == rows.sketch[x + d, :SKETCH]).sum(axis=1)
+            x, equal = x[equal >= least], equal[equal >= least]
+            fits = _may_link(rows, x, x + d, percent)
+            found.append((x[fits], x[fits] + d, equal[fits]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def spanning_forest(of: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges (x, y) of a heaviest forest over nodes whose parts ``of`` are joined already."""
+    order = np.argsort(-weight, kind="stable")
+    x, y, of, chosen = x[order], y[order], of.copy(), []
+    left = np.arange(len(x))
+    while True:
+        a, b = of[x[left]], of[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return order[np.unique(np.concatenate(chosen))] if chosen else np.zeros(0, np.int64)
+        # every part takes its heaviest edge; the order has no ties, so that only pairs of parts can choose each other
+        best = np.full(int(of.max()) + 1, len(x))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        parts = np.flatnonzero(best < len(x))
+        edge = best[parts]
+        ends = of[x[edge]]
+        up = np.arange(len(best))
+        up[parts] = np.where(ends == parts, of[y[edge]], ends)
+        up[parts] = np.where((up[up[parts]] == parts) & (parts < up[parts]), parts, up[parts])
+        while (higher := up[up])[parts].tolist() != up[parts].tolist():
+            up = higher
+        chosen.append(edge)
+        of = up[of]
+
+
+def _pairs(percent: int, forest: bool):
+    """Over rows sorted by key and block: pairs to look at, all of them or a forest of the likeliest."""
+
+    def compared(rows: _Rows) -> Iterator[pa.RecordBatch]:
+        x, y, equal = _candidates(rows, percent)
+        if forest:
+            _, of = np.unique(np.stack((rows.cell.view(np.int64), rows.own), axis=1), axis=0, return_inverse=True)
+            kept = spanning_forest(of.ravel(), x, y, equal)
+            x, y = x[kept], y[kept]
+        a, b = rows.ids[x], rows.ids[y]
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Rows] = []
 
-def _buckets(depth: int, percent: int):
-    """Over rows sorted by key: pairs, rows for the next depth, members of buckets that stay full and of full table keys."""
+        def parts(rows: _Rows) -> Iterator[pa.RecordBatch]:
+            large = rows.runs() > SMALL
+            yield from compared(rows.take(~large))
+            for cell in np.unique(rows.cell[large]):
+                yield from compared(rows.take(rows.cell == cell))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: _Rows) -> Iterator[pa.RecordBatch]:
-            found, opened = [], []
-            _near(rows, depth, percent, found, opened)
-            yield from (_table(x, _OPEN) for x in opened)
-            if found:
-                a, b, equal = (np.concatenate(x) for x in zip(*found, strict=True))
-                both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), equal), axis=1), axis=0)
-                n = len(both)
-                if n:
-                    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, _PAIR, np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1]), *none[:3], pa.array(both[:, 2]), none[3]],
-                        ["kind", "a", "b", "key", "i", "j", "n_shingles", "sketch"],
-                    )
-
-        held: _Rows | None = None
-        passing = None  # key of a bucket too large for one task: its rows go on to the next depth
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _Rows.of(batch)
-            if passing is not None:
-                more = rows.key == passing
-                if more.any():
-                    yield _table(rows.take(more), _STAR if depth == 2 else _FULL)
-                    rows = rows.take(~more)
-                if not len(rows.key):
-                    continue
-                passing = None
-            rows = _Rows.join([held, rows]) if held is not None else rows
-            last = rows.key == rows.key[-1]
-            done = rows.take(~last)
-            if len(done.key):
-                length = done.runs()
-                if (big := length > HELD).any():
-                    yield _table(done.take(big), _STAR if depth == 2 else _FULL)
-                    done = done.take(~big)
-                yield from close(done)
-            held = rows.take(last)
-            if len(held.key) > HELD:
-                yield _table(held, _STAR if depth == 2 else _FULL)
-                passing, held = held.key[0], None
-        if held is not None:
-            yield from close(held)
+            if held and held[-1].cell[-1] == rows.cell[-1]:
+                held.append(rows)  # one bucket goes on
+                continue
+            rows = _Rows.join([*held, rows])
+            last = rows.cell == rows.cell[-1]
+            yield from parts(rows.take(~last))
+            held = [rows.take(last)]
+        if held:
+            yield from parts(_Rows.join(held))
 
     return run
 
@@ -286,48 +255,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     Rows without a doc_id count as copies of what they equal but never give a component its id.
     Other columns are ignored.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stage(plain.mapInArrow(_sketches(words), "doc_id long, n_shingles long, low long, high long, sketch binary"), "sketches")
     same = ["n_shingles", "low", "high"]
     classes = stage(
         sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("id")), "classes"
     )
-    firsts = classes.mapInArrow(_first_keys, "key long, i int, j int, id long, n_shingles long, sketch binary")
-    # only keys that two classes share go on
-    shared = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = firsts.join(shared.hint("merge"), "key", "left_semi")
-    pairs, stars, opened = None, None, None
-    for depth in range(3):
-        dealt = rows.repartition("key").sortWithinPartitions("key", "n_shingles", "id")
-        out = stage(dealt.mapInArrow(_buckets(depth, percent), _FOUND), "buckets")
-        got, full = out.where(f"kind = {_PAIR}").select("a", "b", F.col("n_shingles").alias("equal")), out.where(f"kind = {_FULL}")
-        star = out.where(f"kind = {_STAR}").select("key", F.col("a").alias("id"), "n_shingles")
-        pairs = got if pairs is None else pairs.union(got)
-        stars = star if stars is None else stars.union(star)
-        # a table key's rows that a task cannot hold are open as well
-        left = out.where(f"kind = {_OPEN} or {depth} = 1 and kind = {_FULL}").select("key", "i", "j", F.col("a").alias("id"))
-        opened = left if opened is None else opened.union(left)
-        if depth < 2:
-            if full.limit(1).count() == 0:
-                break
-            rows = full.select("key", "i", "j", F.col("a").alias("id"), "n_shingles", "sketch").mapInArrow(_rekey(depth), "key long, i int, j int, id long, n_shingles long, sketch binary")
-    pairs = stage(pairs.distinct(), "pairs")
-    # the likely links first: pairs within a component need no look at their sets
-    sets = _set_table(plain, pairs, words)
-    links = _linked(sets, pairs.where(f"equal >= {SKETCH * percent / 100}").select("a", "b"), percent)
-    labels = stage(components(links), "components")
-    rest = pairs.where(f"equal < {SKETCH * percent / 100}").select("a", "b")
-    for end in ("a", "b"):
-        rest = rest.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    rest = stage(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "pairs")
-    links = links.union(_linked(sets, rest, percent))
-    labels = stage(components(links), "components")
-    if stars.limit(1).count():
-        links, labels = _stars(plain, stage(stars, "stars"), links, labels, words, percent)
-    if opened.limit(1).count():
-        more = _opened(opened, labels, classes.select("id", "n_shingles", "sketch"), percent)
-        links = links.union(_linked(_set_table(plain, more, words), more, percent))
+    firsts = classes.select("id", "sketch").mapInArrow(_first_keys, "key long, band int, id long")
+    # only keys that two classes share are buckets
+    shared = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(firsts.join(shared.hint("merge"), "key"), "members")
+    sets = _set_table(plain, members.select(F.col("id").alias("doc_id")), words)
+    described = classes.select("id", "n_shingles", "sketch")
+    links = labels = None
+    for bands, forest in ((FIRST_BANDS, True), (BANDS, True), (BANDS, False)):
+        pairs = _open_pairs(members.where(F.col("band") < bands), described, labels, percent, forest)
+        found = _linked(sets, pairs, percent)
+        links = found if links is None else links.union(found)
         labels = stage(components(links), "components")
     classes = classes.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -339,23 +283,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     )
 
 
-def _rekey(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for more in _Rows.of(batch).longer(depth):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (more.key, more.i, more.j, more.ids, more.size)] + [pa.array([x.tobytes() for x in more.sketch], pa.binary())],
-                        ["key", "i", "j", "id", "n_shingles", "sketch"],
-                    )
+def _open_pairs(members: DataFrame, described: DataFrame, labels: DataFrame | None, percent: int, forest: bool) -> DataFrame:
+    """(a, b): pairs to look at in buckets whose members lie in more than one component.
 
-    return run
-
-
-def _set_table(plain: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The full shingle sets of all ids in pairs. Texts move once, at every size, so that cost grows evenly."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = plain.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary")
+    A bucket of more than HELD members is dealt out in blocks. Forests are those of the blocks. For all pairs, the members
+    outside the bucket's largest component go to every block and so meet all others; those of that component need not
+    meet each other.
+    """
+    placed = members.withColumn("own", F.col("id"))
+    if labels is not None:
+        placed = members.join(labels, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("own"))
+        sizes = placed.groupBy("key", "own").agg(F.count("*").alias("k"))
+        mixed = sizes.groupBy("key").agg(F.max_by("own", F.struct("k", "own")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        placed = placed.join(mixed.select("key", "largest").hint("merge"), "key")
+    else:
+        placed = placed.withColumn("largest", F.lit(None).cast("long"))
+    blocks = F.ceil(F.col("n") / F.lit(HELD)).cast("int")
+    at = F.pmod(F.xxhash64("key", "id"), blocks).cast("int")
+    block = F.array(at) if forest else F.when((blocks > 1) & (F.col("own") != F.col("largest")), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(at))
+    rows = placed.select("key", "id", "own", F.explode(block).alias("block")).join(described, "id")
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "n_shingles", "id")
+    return stage(dealt.mapInArrow(_pairs(percent, forest), "a long, b long").distinct(), "pairs")
+
+
+def _set_table(plain: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The full shingle sets of the given ids. Texts move once, at every size, so that cost grows evenly."""
+    needed = plain.join(ids.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary")
     # repeated rows of an id have the same set only if their texts are alike: take the one that stands for the id
     return stage(needed.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
 
@@ -367,83 +320,3 @@ def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stage(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _dealt(percent: int):
-    """Over rows sorted by (key, x, y): pairs of blocks x and y of one table key that may be links across components."""
-
-    def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        own, x, y, i, j, ids, size, label = (table.column(c).to_numpy() for c in ("own", "x", "y", "i", "j", "id", "n_shingles", "label"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), WIDE)
-        held = _Rows(None, i, j, ids, size, sketch)
-        keys, least, a, b = _keys(sketch).astype(np.uint32), _least(percent), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, len(ids)):
-            fits = 100 * np.minimum(size[d:], size[:-d]) >= percent * np.maximum(size[d:], size[:-d])
-            p = np.flatnonzero(fits & (label[d:] != label[:-d]) & ((x[d:] == y[d:]) | (own[d:] != own[:-d])))
-            # a pair is looked at under the first table key that it shares
-            for at, k in ((0, i), (BANDS, j)):
-                p = p[(keys[p, at : at + BANDS] == keys[p + d, at : at + BANDS]).argmax(axis=1) == k[p]]
-            p = p[(sketch[p, :SKETCH] == sketch[p + d, :SKETCH]).sum(axis=1) >= least]
-            p = p[_may_link(held, p, p + d, percent)]
-            a.append(np.minimum(ids[p], ids[p + d]))
-            b.append(np.maximum(ids[p], ids[p + d]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")], axis=1)
-            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1), len(cells)]
-            for low, high in zip(cuts, cuts[1:]):
-                if held and tuple(cells[low]) != last:
-                    yield compared(held)
-                    held = []
-                held.append(batch.slice(low, high - low))
-                last = tuple(cells[low])
-        if held:
-            yield compared(held)
-
-    return run
-
-
-def _opened(opened: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of full buckets that lie in different components and whose sketches don't rule out a link."""
-    placed = stage(opened.join(labels, "id", "left").select("key", "i", "j", "id", F.coalesce("component", "id").alias("label")), "opened")
-    mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = placed.join(mixed.select("key", "blocks"), "key").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "i", "j", "id", "n_shingles", "label", "sketch"
-    )
-    dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n_shingles", "id")
-    return stage(dealt.mapInArrow(_dealt(percent), "a long, b long").distinct(), "pairs")
-
-
-def _stars(plain: DataFrame, members: DataFrame, links: DataFrame, labels: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Round by round, one member of each full bucket is compared with the members of other components.
-
-    A bucket is done when its members lie in one component or every member had its turn, so no link is lost.
-    """
-    turn = F.xxhash64("key", "id")
-    last = None
-    while True:
-        placed = members.join(labels, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("label"), turn.alias("turn"))
-        if last is not None:
-            placed = placed.join(last, "key").where("turn > last").drop("last")
-        placed = stage(placed, "placed")
-        heads = placed.groupBy("key").agg(
-            F.min_by(F.struct("id", "n_shingles", "label"), "turn").alias("head"), F.min("turn").alias("last"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low <> high")
-        heads = stage(heads, "heads")
-        if heads.limit(1).count() == 0:
-            return links, labels
-        size, other = F.col("n_shingles"), F.col("head.n_shingles")
-        pairs = (
-            placed.join(heads, "key")
-            .where((F.col("label") != F.col("head.label")) & (100 * F.least(size, other) >= percent * F.greatest(size, other)))
-            .select(F.least("id", F.col("head.id")).alias("a"), F.greatest("id", F.col("head.id")).alias("b"))
-        )
-        pairs = stage(pairs.distinct(), "pairs")
-        links = links.union(_linked(_set_table(plain, pairs, words), pairs, percent))
-        labels = stage(components(links), "components")
-        last = heads.select("key", "last")

@@ -108,6 +108,52 @@ def test_pairs_among_texts_below_the_threshold_are_found(docs, monkeypatch):
     assert got == {k: k - (k - 1000) % 2 if k >= 1000 else k for k in range(len(texts))}
 
 
+def test_forests_join_what_all_edges_join_by_the_heaviest():
+    import numpy as np
+
+    from basketry.llm.neardup import spanning_forest
+
+    rng = np.random.default_rng(7)
+    for n, m in ((2, 1), (40, 30), (40, 400), (1, 0)):
+        x, y, weight = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        start = np.where(np.arange(n) < 5, 0, np.arange(n))  # some are joined already
+        above = start.tolist()
+
+        def root(k):
+            while above[k] != k:
+                k = above[k]
+            return k
+
+        total = count = 0
+        for k in np.argsort(-weight, kind="stable").tolist():
+            a, b = root(x[k]), root(y[k])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                total, count = total + weight[k], count + 1
+        kept = spanning_forest(start, x, y, weight)
+        assert (weight[kept].sum(), len(kept)) == (total, count)
+        again = start.tolist()
+        above = again
+        for k in kept.tolist():
+            a, b = root(x[k]), root(y[k])
+            assert a != b
+            above[max(a, b)] = min(a, b)
+
+
+def test_many_near_copies_give_few_pairs(docs, monkeypatch):
+    """Pairs that are looked at grow with the number of copies, not with its square."""
+    import basketry.llm.neardup as module
+
+    seen = []
+    whole = module._linked
+    monkeypatch.setattr(module, "_linked", lambda sets, pairs, percent: seen.append(pairs.count()) or whole(sets, pairs, percent))
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(4000)}" for _ in range(150))
+    texts = [edited(rng, base, 1) for _ in range(300)]
+    got = {r.component_id for r in near_duplicates(docs(*texts)).collect()}
+    assert got == {0} and sum(seen) < 300 * module.BANDS
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(docs):
     assert near_duplicates(docs("a").limit(0)).count() == 0
     rows = docs("a b c d e f", "a b c d e f")
