@@ -7,12 +7,13 @@ that typographic variants of a licence have one digest.
 
 from __future__ import annotations
 
-import hashlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.session import stage
+
 #: Words that are spelt in two ways, with the spelling kept.
 EQUIVALENT = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment",
@@ -20,7 +21,7 @@ EQUIVALENT = {
     "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "honour": "honor", "judgement": "judgment", "labour": "labor",
     "merchantibility": "merchantability", "noncommercial": "non commercial", "organisation": "organization", "organise": "organize",
     "programme": "program", "realise": "realize", "recognise": "recognize", "whilst": "while", "wilful": "willful",
-    "copyright holder": "copyright owner", "copyright holders": "copyright owners", "per cent": "percent",
+    "copyright holder": "copyright owner", "per cent": "percent",
 }
 #: Full standard texts, one file by identifier.
 TEXTS = Path(__file__).with_name("licence_texts")
@@ -47,50 +48,53 @@ _COPYRIGHT = r"(?m)^[^\S\n]*(?:copyright\b(?=[^\S\n]*(?:\(c\)|©|[0-9]))|\(c\)|
 _TITLE = r"^\s*(?:the[^\S\n]+)?(?:mit|expat|isc|0bsd|(?:zero-clause|0-clause)[^\S\n]+bsd|bsd[^\S\n]+(?:zero[ -]clause|[0-4]-clause))[^\S\n]+licen[cs]e(?:[^\S\n]*\([^)\n]*\))?[^\S\n]*[.:]?[^\S\n]*\n"
 #: Marks of the ends of paragraphs, lines and sentences.
 _PARAGRAPH, _LINE, _SENTENCE = "\ue000", "\ue001", "\ue002"
+#: Spellings of one word are looked up word by word, those of two words in the joined text.
+_ONE_WORD = {old: new for old, new in EQUIVALENT.items() if " " not in old}
+_TWO_WORDS = {old: new for old, new in EQUIVALENT.items() if " " in old}  # their beginnings: what follows stays
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _TITLE, ""), _COPYRIGHT, " ")
 
 
-def _spelt(words: Column, changes: dict[str, str]) -> Column:
-    # a word may follow itself, and both need the space between them: two passes
-    for old, new in list(changes.items()) * 2:
-        words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
+def _marked(text: Column) -> Column:
+    """Words in one spelling and marks, each with a space around it; one pass over the words."""
+    marked = F.regexp_replace(_bare(text), f"[{_PARAGRAPH}{_LINE}{_SENTENCE}]", " ")
+    marked = F.regexp_replace(marked, r"\n[^\S\n]*(?:\n\s*)+", f" {_PARAGRAPH} ")
+    marked = F.regexp_replace(F.replace(marked, F.lit("\n"), F.lit(f" {_LINE} ")), r"(?<=[.!?])[^\S\n]+", f" {_SENTENCE} ")
+    words = F.split(F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}{_PARAGRAPH}{_LINE}{_SENTENCE}]+", " "), " ")
+    spelt = F.create_map(*[F.lit(x) for pair in _ONE_WORD.items() for x in pair])
+    return F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spelt, w), w)), " "), F.lit(" "))
+
+
+def _joined(marked: Column, within: str) -> Column:
+    """The words with one space between them, with marks ``within`` as white space and spellings of two words changed."""
+    words = F.regexp_replace(marked, f"[ {within}]+", " ")
+    for old, new in _TWO_WORDS.items():
+        words = F.replace(words, F.lit(f" {old}"), F.lit(f" {new}"))
     return words
 
 
-def _bare(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _TITLE, ""), _COPYRIGHT, " ")
+def _whole(joined: Column) -> Column:
+    """The canonical text from words in which paragraphs' marks alone are left."""
+    return F.trim(F.replace(joined, F.lit(f"{_PARAGRAPH} "), F.lit("")))
 
 
 def canonical(text: Column) -> Column:
     """Lower-case words with one space between them, without a title and copyright lines, in one spelling."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(_bare(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    return F.trim(_spelt(words, EQUIVALENT))
-
-
-def pieces(text: Column) -> Column:
-    """The canonical forms of a text's paragraphs, lines and sentences."""
-    marked = F.regexp_replace(_bare(text), f"[{_PARAGRAPH}{_LINE}{_SENTENCE}]", " ")
-    for pattern, mark in ((r"\n[^\S\n]*(?:\n\s*)+", _PARAGRAPH), (r"\n", _LINE), (r"(?<=[.!?])[^\S\n]+", _SENTENCE)):
-        marked = F.regexp_replace(marked, pattern, f" {mark} ")
-    words = F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}{_PARAGRAPH}{_LINE}{_SENTENCE}]+", " ")
-    words = _spelt(F.concat(F.lit(" "), words, F.lit(" ")), EQUIVALENT)
-    # spellings of two words, which a mark within a paragraph or line may have parted
-    apart = {k: v for k, v in EQUIVALENT.items() if " " in k}
-    joined = lambda inner: lambda p: F.trim(_spelt(F.concat(F.lit(" "), F.trim(F.regexp_replace(p, f"[ {inner}]+", " ")), F.lit(" ")), apart))
-    paragraphs = F.transform(F.split(words, _PARAGRAPH), joined(_LINE + _SENTENCE))
-    lines = F.transform(F.split(words, f"[{_PARAGRAPH}{_LINE}]"), joined(_SENTENCE))
-    sentences = F.transform(F.split(words, f"[{_PARAGRAPH}{_SENTENCE}]"), joined(_LINE))
-    return F.array_distinct(F.concat(paragraphs, lines, sentences))
+    return _whole(_joined(_marked(text), _LINE + _SENTENCE))
 
 
 def known_licences(spark: SparkSession, folder: str | None = None) -> DataFrame:
-    """(digest, licence): one row per distinct digest of the known texts, and of ``folder``/<identifier>.txt files."""
+    """(digest, licence, length): one row per distinct digest of the known texts, and of ``folder``/<identifier>.txt files."""
     rows = [(name, text) for name, texts in KNOWN.items() for text in texts]
     rows += [(path.stem, path.read_text("utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
     texts = spark.createDataFrame(rows, "licence string, text string")
     if folder:
         files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("licence"), F.col("value").alias("text"))
         texts = texts.unionByName(files)
-    return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    form = texts.select("licence", canonical(F.col("text")).alias("form")).where("form <> ''")
+    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("form")).alias("length"))
 
 
 def scan(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -100,21 +104,48 @@ def scan(docs: DataFrame, folder: str | None = None) -> DataFrame:
     there is none, and for null, empty and wordless texts, which have a digest of nothing. Of several licences, or
     identifiers with one canonical text, the smallest is given, and ``licences`` has all. Repeated rows get equal
     results. Other columns are ignored.
+
+    The digests of units that are as long as some known text are joined with the known digests, however many there are.
     """
-    form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("form"), pieces(F.col("text")).alias("pieces"))
-    # as many rows as there are known texts
-    known = {r.digest: r.licence for r in known_licences(docs.sparkSession, folder).collect()}
-    known.pop(hashlib.sha256(b"").hexdigest(), None)
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    named = lambda piece: F.try_element_at(names, F.sha2(piece, 256))
-    found = form.select(
+    known = stage(known_licences(docs.sparkSession, folder), "known")
+    # a digit for each length up to the longest known text: 1 where a known text has it
+    lengths = {r.length for r in known.select("length").distinct().collect()}
+    has = F.lit("".join("01"[k in lengths] for k in range(max(lengths) + 1)))
+    longest = max(lengths)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _marked(F.col("text")).alias("marked"))
+    joined = marked.select(
+        "doc_id",
+        _joined(F.col("marked"), _LINE + _SENTENCE).alias("paragraphs"),
+        # without a mark of lines, lines are paragraphs; sentences likewise
+        F.when(F.contains("marked", F.lit(_LINE)), _joined(F.col("marked"), _SENTENCE)).otherwise("").alias("lines"),
+        F.when(F.contains("marked", F.lit(_SENTENCE)), _joined(F.col("marked"), _LINE)).otherwise("").alias("sentences"),
+    )
+    units = joined.select(
+        "doc_id",
+        _whole(F.col("paragraphs")).alias("form"),
+        F.split("paragraphs", _PARAGRAPH).alias("paragraphs"),
+        F.split("lines", f"[{_PARAGRAPH}{_LINE}]").alias("lines"),
+        F.split("sentences", f"[{_PARAGRAPH}{_SENTENCE}]").alias("sentences"),
+    )
+
+    def possible(unit: Column) -> Column:
+        size = F.length(F.trim(unit))
+        return (size <= longest) & (F.substring(has, size + 1, 1) == "1")
+
+    def digests(column: str) -> Column:
+        return F.transform(F.filter(column, possible), lambda u: F.sha2(F.trim(u), 256))
+
+    looked = units.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        F.when(F.col("form") == "", 0).otherwise(F.size(F.split("form", " "))).cast("long").alias("n_words"),
+        F.when(F.col("form") == "", 0).otherwise(F.length("form") - F.length(F.replace("form", F.lit(" "))) + 1).cast("long").alias("n_words"),
         F.sha2("form", 256).alias("digest"),
-        named(F.col("form")).alias("whole"),
-        F.array_compact(F.transform("pieces", named)).alias("parts"),
+        F.array_distinct(F.concat(digests("paragraphs"), digests("lines"), digests("sentences"))).alias("units"),
+    )
+    looked = stage(looked, "digests")  # row numbers hold from here on
+    asked = looked.select("row", "digest", F.explode("units").alias("unit")).union(looked.select("row", "digest", F.col("digest").alias("unit")))
+    hits = asked.join(known.select(F.col("digest").alias("unit"), "licence"), "unit")
+    found = hits.groupBy("row").agg(F.min(F.when(F.col("unit") == F.col("digest"), F.col("licence"))).alias("whole"), F.min("licence").alias("least"), F.sort_array(F.collect_set("licence")).alias("licences"))
+    return looked.join(found, "row", "left").select(
+        "doc_id", "n_words", "digest", F.coalesce("whole", "least").alias("licence"), F.coalesce("licences", F.array().cast("array<string>")).alias("licences")
     )
-    return found.select(
-        "doc_id", "n_words", "digest", F.coalesce("whole", F.array_min("parts")).alias("licence"),
-        F.sort_array(F.array_distinct(F.array_compact(F.concat(F.array("whole"), "parts")))).alias("licences"),
-    )
