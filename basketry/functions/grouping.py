@@ -31,6 +31,11 @@ def mode_in(field: str):
     return F.min(F.when(F.col("_field") == field, F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("v"))))["v"]
 
 
+def median_in(field: str):
+    """Median of one column of numbers, over ``value_counts_long`` rows."""
+    return F.percentile(F.when(F.col("_field") == field, F.col("_value").cast("double")), F.lit(0.5), F.col("_n"))
+
+
 def with_value_profile(
     grouped: DataFrame,
     rows: DataFrame,
@@ -38,16 +43,19 @@ def with_value_profile(
     distinct: Mapping[str, str] | None = None,
     modes: Mapping[str, str] | None = None,
     default: str = "Unknown",
+    middles: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Join distinct counts (``{output: column}``) and modes onto an aggregate by ``keys``."""
-    distinct, modes = dict(distinct or {}), dict(modes or {})
-    columns = list(dict.fromkeys([*distinct.values(), *modes.values()]))
+    """Join distinct counts (``{output: column}``), modes and medians of numbers onto an aggregate by ``keys``."""
+    distinct, modes, middles = dict(distinct or {}), dict(modes or {}), dict(middles or {})
+    columns = list(dict.fromkeys([*distinct.values(), *modes.values(), *middles.values()]))
     profile = value_counts_long(rows, keys, columns).groupBy(*keys).agg(
         *[distinct_in(c).alias(name) for name, c in distinct.items()],
         *[mode_in(c).alias(name) for name, c in modes.items()],
+        *[median_in(c).alias(name) for name, c in middles.items()],
     )
     return grouped.join(profile, list(keys), "left").select(
         *grouped.columns,
         *[F.coalesce(name, F.lit(0)).alias(name) for name in distinct],
         *[F.coalesce(name, F.lit(default)).alias(name) for name in modes],
+        *middles,
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.grouping import with_value_profile
 from basketry.functions.scalars import attach_row, clip, safe_ratio, total, whole_days
+from basketry.session import stage
 
 # Event types behind the five named roles of the event features.
 EVENT_ROLES = {
@@ -36,45 +37,58 @@ def latest_order_lines(lines: DataFrame) -> DataFrame:
 
 
 def customer_features(lines: DataFrame) -> DataFrame:
-    """Spend, variety, service and order-count features of every customer."""
-    known = lines.where(F.col("user_id").isNotNull())
-    reference = lines.agg((F.max("created_at") + F.expr("INTERVAL 1 DAY")).alias("reference_date"))
-    customer = known.groupBy("user_id").agg(
+    """Spend, variety, service and order-count features of every customer.
+
+    Lines are read twice: summed by (user, order), from which the totals, the orders and the newest time follow, and
+    counted by value for distinct values, modes and the median age.
+    """
+    means = {"avg_item_price": "sale_price", "avg_shipping_days": "shipping_days", "avg_delivery_days": "delivery_days"}
+    newest = F.max(F.struct(F.col("created_at").isNull(), "created_at", "is_cancelled", "is_completed"))
+    orders = lines.groupBy("user_id", "order_id").agg(
         F.count(F.lit(1)).alias("items"),
         total(F.col("sale_price")).alias("total_spend"),
         total(F.col("margin")).alias("total_margin"),
-        F.avg("sale_price").alias("avg_item_price"),
         F.sum("is_returned").alias("returned_items"),
         F.sum("is_cancelled").alias("cancelled_items"),
         F.sum("is_completed").alias("completed_items"),
         F.sum("is_shipped").alias("shipped_items"),
-        F.avg("shipping_days").alias("avg_shipping_days"),
-        F.avg("delivery_days").alias("avg_delivery_days"),
-        F.median("age").alias("age"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in means.values()],
+        *[F.count(c).alias(f"_n_{c}") for c in means.values()],
         F.max("is_loyal").alias("is_loyal"),
         F.min("created_at").alias("first_order"),
         F.max("created_at").alias("last_order"),
+        newest.alias("_newest"),
+    )
+    orders = stage(orders, "orders")
+    known = orders.where(F.col("user_id").isNotNull())
+    reference = orders.agg((F.max("last_order") + F.expr("INTERVAL 1 DAY")).alias("reference_date"))
+    real = F.col("order_id").isNotNull()
+    sums = ["items", "total_spend", "total_margin", "returned_items", "cancelled_items", "completed_items", "shipped_items"]
+    customer = known.groupBy("user_id").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(name) for name, c in means.items()],
+        F.max("is_loyal").alias("is_loyal"),
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
+        F.count(F.when(real, 1)).alias("orders"),
+        F.sum(F.when(real, F.col("_newest.is_cancelled"))).alias("cancelled_orders"),
+        F.sum(F.when(real, F.col("_newest.is_completed"))).alias("completed_orders"),
     )
     customer = with_value_profile(
         customer,
-        known,
+        lines.where(F.col("user_id").isNotNull()),
         ["user_id"],
         distinct={"unique_products": "product_id", "unique_categories": "category"},
         modes={c: c for c in ["gender", "country", "city", "traffic_source"]},
         default="unknown",
+        middles={"age": "age"},
     )
-    order_counts = latest_order_lines(lines).groupBy("user_id").agg(
-        F.count("order_id").alias("orders"),
-        F.sum("is_cancelled").alias("cancelled_orders"),
-        F.sum("is_completed").alias("completed_orders"),
-    )
-    joined = attach_row(customer.join(order_counts, "user_id", "left"), reference)
+    order_columns = ["orders", "cancelled_orders", "completed_orders"]
+    joined = attach_row(customer.withColumns({c: F.when(F.col("orders") > 0, F.col(c)) for c in order_columns}), reference)
     tenure = clip(whole_days(F.col("last_order"), F.col("first_order")), 0)
     return joined.select(
-        *customer.columns,
-        "orders",
-        "cancelled_orders",
-        "completed_orders",
+        *[c for c in customer.columns if c not in order_columns],
+        *order_columns,
         safe_ratio(F.col("total_spend"), F.col("orders")).alias("avg_order_value"),
         safe_ratio(F.col("returned_items"), F.col("items")).alias("return_rate"),
         safe_ratio(F.col("cancelled_items"), F.col("items")).alias("cancel_rate"),

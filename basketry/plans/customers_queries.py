@@ -49,7 +49,7 @@ def customer_features(spark, d):
 
 def customer_profile(spark, d):
     """Features, scores, classes, event features and the named segment of every customer."""
-    lines = enriched(spark, d, *CUSTOMER_INPUTS)
+    lines = stage(enriched(spark, d, *CUSTOMER_INPUTS), "lines")
     base = stage(cu.customer_features(lines), "customers")
     scored = sg.add_rfm_scores(base, staged=True)
     full = scored.join(sg.customer_abc(base, staged=True), "user_id").join(sg.customer_xyz(lines), "user_id")

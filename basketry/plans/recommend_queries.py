@@ -14,7 +14,7 @@ from basketry.operators import rank_eval as re_
 from basketry.operators import recommend as rc
 from basketry.operators import series as se
 from basketry.plans.catalog import mode_sql, query, view
-from basketry.plans.customers_queries import customer_profile, enriched
+from basketry.plans.customers_queries import CUSTOMER_INPUTS, customer_profile, enriched
 from basketry.plans.marts_queries import fixture_predictions
 from basketry.plans.products_queries import PRODUCT_INPUTS, product_quality
 from basketry.session import stage
@@ -60,8 +60,13 @@ QUALITY_SPEC = "product_id:i product_name:s category:s brand:s revenue:f items:i
 OFFER_SPEC = "user_id:i churn_probability:f rank:i recommended_product_id:i recommended_product:s category:s brand:s reason:s quality_risk:f"
 
 
-def predictions(spark, d):
-    lines = enriched(spark, d, "order_id", "user_id", "product_id", "category", "age", "gender", "country", "city", "traffic_source", "is_loyal")
+def offer_lines(spark, d):
+    """The lines behind scores, products and offers, joined and written once."""
+    return stage(enriched(spark, d, *dict.fromkeys([*CUSTOMER_INPUTS, *RULE_INPUTS])), "lines")
+
+
+def predictions(spark, d, lines=None):
+    lines = lines if lines is not None else enriched(spark, d, *CUSTOMER_INPUTS)
     return stage(fixture_predictions(cu.customer_features(lines)), "predictions")
 
 
@@ -71,8 +76,8 @@ def h01(spark, d):
 
 
 def rule_offers(spark, d, scores=None):
-    lines = enriched(spark, d, *RULE_INPUTS)
-    scores = scores if scores is not None else predictions(spark, d)
+    lines = offer_lines(spark, d)
+    scores = scores if scores is not None else predictions(spark, d, lines)
     return rc.retention_offers(lines, stage(pr.product_quality(lines), "quality"), rc.riskiest_users(scores))
 
 
@@ -102,10 +107,10 @@ _offers_view("holdout_offers_10", "train_good", "split_train", "eval_users", 10)
 
 def holdout(spark, d, offers):
     """(offers rebuilt from the history, held-out lines) of the high-risk users."""
-    lines = enriched(spark, d, *RULE_INPUTS)
-    newest = rc.newest_orders(lines)
-    users = rc.riskiest_users(predictions(spark, d)).join(newest.select("user_id"), "user_id", "left_semi")
-    train, test = rc.temporal_split(lines, users)
+    lines = offer_lines(spark, d)
+    newest = stage(rc.newest_orders(lines), "newest")
+    users = stage(rc.riskiest_users(predictions(spark, d, lines)).join(newest.select("user_id"), "user_id", "left_semi"), "users")
+    train, test = (stage(part, "part") for part in rc.temporal_split(lines, users))
     quality = stage(pr.product_quality(train), "quality")
     return rc.retention_offers(train, quality, users, offers), test
 
