@@ -119,5 +119,5 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 
 def fixed_sample(df: DataFrame, key: str, size: int = 5000, seed: int = 42) -> DataFrame:
-    """A repeatable sample of at most ``size`` rows: the smallest hashes of the key (top-k)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    """A repeatable sample of at most ``size`` rows: the smallest MD5s of the key and the seed (top-k)."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(size)

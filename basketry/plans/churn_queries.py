@@ -362,7 +362,13 @@ def g22(spark, d):
     return sn.dataset_report(split_panel(spark, d))
 
 
-@query("b24_one_hot_aligned", "snapshot_date:d user_id:i category_slots:i active_slots:i")
+@query(
+    "b24_one_hot_aligned",
+    "snapshot_date:d user_id:i category_slots:i active_slots:i",
+    # a slot for each level of the train part and one for the others; one slot of either column is set
+    "SELECT snapshot_date, user_id, (SELECT count(DISTINCT coalesce(favorite_category, 'Unknown')) + 1 FROM panel, panel_cut WHERE snapshot_date < cut) AS category_slots, "
+    "2 AS active_slots FROM panel, panel_cut WHERE snapshot_date >= cut",
+)
 def b24(spark, d):
     filled = sn.fill_features(split_panel(spark, d))
     encoded = ch.one_hot_aligned(filled.where("is_train"), filled.where("NOT is_train"), ["favorite_category", "favorite_brand"])

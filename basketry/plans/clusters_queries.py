@@ -68,3 +68,14 @@ FROM s, g
 )
 def f11_rules(spark, d):
     return cl.label_clusters(stage(cluster_mart(spark, d).withColumn("cluster", F.col("traffic_source")), "grouped"))
+
+
+@query(
+    "f10_profile_rules",
+    "cluster:s users_cnt:i total_revenue:f recency_days:f return_rate:f events_cnt:f",
+    "SELECT traffic_source AS cluster, count(*) AS users_cnt, round(avg(total_revenue), 2) AS total_revenue, round(avg(days_since_last_order), 2) AS recency_days, "
+    "round(avg(return_rate), 2) AS return_rate, round(avg(e.events_cnt), 2) AS events_cnt FROM user_table u LEFT JOIN event_activity e USING (user_id) GROUP BY 1",
+)
+def f10_rules(spark, d):
+    """The profile on groups that SQL can repeat, as for the label rules."""
+    return cl.cluster_profile(stage(cluster_mart(spark, d).withColumn("cluster", F.col("traffic_source")), "grouped"), cl.FULL_FEATURES)

@@ -144,6 +144,10 @@ def c07(spark, d):
     return pf.histogram(sales(spark, d, "order_id"), "delivery_days")
 
 
-@query("c08_fixed_sample", "user_id:i recency_days:i total_spend:f")
+@query(
+    "c08_fixed_sample",
+    "user_id:i recency_days:i total_spend:f",
+    "SELECT user_id, recency_days, total_spend FROM customer_profile ORDER BY md5(user_id || ':42'), user_id LIMIT 5000",
+)
 def c08(spark, d):
     return pf.fixed_sample(customer_features(spark, d), "user_id")

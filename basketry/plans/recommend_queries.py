@@ -402,6 +402,28 @@ def h15(spark, d):
     return rc.tiered_offers([stored, live, rules, rc.fallback_offers(scores, product_quality(spark, d))])
 
 
+@query(
+    "h15_tier_rule",
+    "user_id:i rank:i recommended_product_id:i score:f source:s",
+    f"""
+WITH last AS (SELECT user_id, rank, product_id AS recommended_product_id, 1.0 - quality_risk + churn_probability * 0.1 AS score
+    FROM fixture_predictions, (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM product_quality QUALIFY rank <= 5)),
+  t AS (SELECT 0 AS tier, user_id, rank, recommended_product_id, score, 'hybrid_prebuilt' AS source FROM last WHERE user_id % 3 = 0
+    UNION ALL SELECT 1, user_id, rank, recommended_product_id, 1.0 - quality_risk, 'retention_rules' FROM rule_offers WHERE user_id % 3 < 2
+    UNION ALL SELECT 2, user_id, rank, recommended_product_id, score, 'business_rule_fallback' FROM last)
+SELECT * FROM t WHERE rank <= 5 QUALIFY tier = min(tier) OVER (PARTITION BY user_id)
+""",
+)
+def h15_rule(spark, d):
+    """The choice of tiers on lists that SQL can repeat: a third of the users has stored lists, another rules alone."""
+    lines = offer_lines(spark, d)
+    scores = predictions(spark, d, lines)
+    last = stage(rc.fallback_offers(scores, product_quality(spark, d)), "fallback")
+    stored = fz.stored_offers(last.where("user_id % 3 = 0"))
+    rules = rc.rule_offers_as_tier(rule_offers(spark, d, scores).where("user_id % 3 < 2"))
+    return rc.tiered_offers([stored, rules, last])
+
+
 @query("j01_known_users", "user_id:i", "SELECT user_id FROM fixture_predictions ORDER BY user_id LIMIT 200")
 def j01(spark, d):
     return lk.known_users(predictions(spark, d))
