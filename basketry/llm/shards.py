@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,16 @@ def load_map(spark: SparkSession, folder: str, version: int) -> dict[int, int]:
     return {r.slot: r.shard for r in spark.read.schema(MAP).parquet(f"{folder}/version={version}").collect()}
 
 
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """The last version in the store; 0 for a store that has none yet."""
+    try:
+        return spark.read.schema(MAP).parquet(folder).agg(F.max("version")).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot) of every row; a null text counts as no bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -100,18 +111,25 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | N
     """One row per row of ``docs`` (doc_id, text) with its shard, by the law that shards have near equal bytes.
 
     ``slot`` counts a shard's rows from 0 without gaps, in the order of virtual slot, doc_id and text; ``virtual_slot``
-    is the fixed hash slot. Both map versions go to ``folder`` (by default a new one in the shared folder). Null ids
+    is the fixed hash slot. The newest map in ``folder`` (by default a new one in the shared folder, which starts with the
+    slots dealt out in turn) is edited and stored as the next version, so later rows or another number of shards move only
+    the slots that must. Null ids
     and texts hash like any value, repeated rows share a virtual slot and get places of their own, an empty table
     gives no rows. Other columns are ignored. One record larger than a shard's share leaves that shard over it.
     """
     spark = docs.sparkSession
     rows = stage(records(docs, slots), "records")
     measured = {r.virtual_slot: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    first = initial_map(shards, slots)
-    edited = rebalance(first, {k: r.bytes for k, r in measured.items()}, shards)
     folder = folder or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
-    save_map(spark, folder, 1, first)
-    save_map(spark, folder, 2, edited)
+    version = newest_version(spark, folder)
+    if not version:
+        version = 1
+        save_map(spark, folder, version, initial_map(shards, slots))
+    current = load_map(spark, folder, version)
+    if len(current) != slots:
+        raise ValueError(f"the map in {folder} has {len(current)} slots, not {slots}; a record's slot never changes")
+    edited = rebalance(current, {k: r.bytes for k, r in measured.items()}, shards)
+    save_map(spark, folder, version + 1, edited)
     filled, placed = [0] * shards, []
     for slot in range(slots):
         placed.append((slot, edited[slot], filled[edited[slot]]))

@@ -3,7 +3,7 @@
 One regular expression finds the mentions. A mention's canonical form (digits of a number, lower-cased mail address or
 name) and a secret key decide its surrogate, so equal entities get equal surrogates everywhere without a join. The
 distinct entities are checked: a surrogate that two entities share, or that is itself an entity of the data, is drawn
-again for all but one of them; only these few attempts are joined back to the texts.
+again for all but one of them, in the end with more characters; only these few attempts are joined back to the texts.
 """
 
 from __future__ import annotations
@@ -18,22 +18,26 @@ from basketry.session import stage
 TITLE = r"(?:Mrs|Mr|Ms|Miss|Herr|Frau|Madame|Monsieur|Señora|Señor)\.? "
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"\b(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,20}[_-]){0,3}(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|(?<![\d-])\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\d-])",
+    # with a country's number, then as written within one, in groups or as ten digits
+    "phone": r"(?<![\d+])(?:\+(?=(?:[ .()-]{0,2}\d){7,15}(?!\d))\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){2,5}|(?<![\d-])1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"
+    r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|(?<![\d-])\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|(?<![\d.,-])[2-9]\d{9}(?![.,]\d))(?![\d-])",
     "name": TITLE + r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Cheap test that spares most texts the search; every pattern needs one of these.
-HINT = r"[0-9@]|[Pp]assw|[Tt]oken|[Ss]ecret|[Kk]ey|AKIA|ASIA|Mrs?\b|Ms\b|Miss\b|Herr\b|Frau\b|Madame\b|Monsieur\b|Señora?\b"
+HINT = r"[0-9@]|(?i:passw|token|secret|key)|AKIA|ASIA|Mrs?\b|Ms\b|Miss\b|Herr\b|Frau\b|Madame\b|Monsieur\b|Señora?\b"
 #: Letters by script: vowels give vowels, others others. A script not listed keeps its letters.
 ALPHABETS = [("aeiou", "bcdfghklmnprstvz"), ("аеиоу", "бвгдклмнпрст"), ("αειου", "βγδκλμνπρστ")]
-#: Draws for one entity before it is given up; each draw is free with all but a tiny chance.
-ATTEMPTS = 50
+#: So many draws keep an entity's length; after every so many more its surrogate is a character longer, and there is room.
+SAME_LENGTH, LONGER = 12, 4
+#: Rounds of draws after which an entity that cannot grow (a network address) has no free surrogate, which is an error.
+ROUNDS = 400
 _PREFIX = r"^(.*?[=:]\s*[\"']?)"
 
 
@@ -113,6 +117,18 @@ def _digits_into(mention: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), one), "")
 
 
+def _extra(attempt: Column, stream: Column, letters: Column) -> Column:
+    """Characters by which the surrogate of a late attempt is longer."""
+    more = F.greatest(F.lit(0), F.ceil((attempt - (SAME_LENGTH - 1)) / F.lit(LONGER)).cast("int"))
+    drawn = lambda i: F.substr(letters, F.pmod(F.conv(F.substr(stream, F.pmod(i * 3 + 61, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int"), F.length(letters)) + 1, F.lit(1))
+    return F.when(more == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), drawn), ""))
+
+
+def _alphabet(name: Column) -> Column:
+    """Consonants of the script of a name."""
+    return F.when(name.rlike("[а-яёА-ЯЁ]"), ALPHABETS[1][1]).when(name.rlike("[α-ωΑ-Ω]"), ALPHABETS[2][1]).otherwise(ALPHABETS[0][1])
+
+
 def surrogate(kind: Column, mention: Column, attempt: Column, key: str) -> Column:
     """The replacement of a mention; equal for equal (kind, canonical form, attempt) but for the mention's format."""
 
@@ -129,18 +145,23 @@ def surrogate(kind: Column, mention: Column, attempt: Column, key: str) -> Colum
         ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(stream, i, 254) + 1).cast("string")), ".")
         domain = F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.substring_index(entity, "@", -1)), 256), F.lit(1), F.lit(8))
         local = F.substring_index(entity, "@", 1)
-        mail = F.concat(_by_place(local, stream), F.lit("@m"), domain, F.lit(".example.org"))
+        digits = _extra(attempt, stream, F.lit("0123456789"))
+        mail = F.concat(_by_place(local, stream), _extra(attempt, stream, F.lit("abcdef")), F.lit("@m"), domain, F.lit(".example.org"))
         compact = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.substr(mapped, F.lit(3)))
         title = F.regexp_extract(mention, "^(" + TITLE + ")", 1)
+        plain = F.regexp_replace(mention, "^" + TITLE, "")
+        named = _name(plain, stream)
+        # longer names grow before their last letter, which stays
+        longer = F.concat(F.substr(named, F.lit(1), F.length(named) - 1), _extra(attempt, stream, _alphabet(plain)), F.substr(named, F.length(named)))
         return (
             F.when(kind == "email", mail)
             .when(kind == "ip", ip)
-            .when(kind == "card", _digits_into(mention, card))
-            .when(kind.isin("ssn", "phone"), _digits_into(mention, number))
-            .when(kind == "iban", compact)
-            .when(kind == "access_key", F.concat(F.substr(entity, F.lit(1), F.lit(4)), F.substr(mapped, F.lit(5))))
-            .when(kind == "secret", F.concat(F.regexp_extract(mention, _PREFIX, 1), mapped))
-            .otherwise(F.concat(title, _name(F.regexp_replace(mention, "^" + TITLE, ""), stream)))
+            .when(kind == "card", F.concat(_digits_into(mention, card), digits))
+            .when(kind.isin("ssn", "phone"), F.concat(_digits_into(mention, number), digits))
+            .when(kind == "iban", F.concat(compact, digits))
+            .when(kind == "access_key", F.concat(F.substr(entity, F.lit(1), F.lit(4)), F.substr(mapped, F.lit(5)), digits))
+            .when(kind == "secret", F.concat(F.regexp_extract(mention, _PREFIX, 1), mapped, digits))
+            .otherwise(F.concat(title, longer))
         )
 
     return let(canonical(kind, mention), of)
@@ -151,20 +172,33 @@ def _mentions(text: Column) -> Column:
 
 
 def retries(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, attempt) of the entities whose first surrogate is taken. ``entities``: distinct (kind, entity)."""
+    """(kind, entity, attempt) of the entities whose first surrogate is taken. ``entities``: distinct (kind, entity).
+
+    Draws go on until every surrogate is free; late ones are longer, so that there is room for any number of entities.
+    """
     current = stage(entities.withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(ATTEMPTS):
-        drawn = stage(current.withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))), "drawn")
+    for _ in range(ROUNDS):
+        # what is drawn is checked as a mention of its type, whatever its canonical form leaves out
+        drawn = current.repartition("kind", "entity").withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
+        drawn = stage(drawn, "drawn")
         # the entity drawn earliest keeps it: lower attempt, then smaller name
         owner = drawn.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("owner")).where("n > 1")
         shared = drawn.join(owner, ["kind", "drawn"]).where(F.struct("attempt", "entity") != F.col("owner")).select("kind", "entity")
         real = drawn.join(entities.select("kind", F.col("entity").alias("drawn")), ["kind", "drawn"], "left_semi").select("kind", "entity")
         again = stage(shared.union(real).distinct(), "taken")
         if again.limit(1).count() == 0:
-            break
+            return current.where("attempt > 0")
         more = current.join(again.withColumn("more", F.lit(1)), ["kind", "entity"], "left")
         current = stage(more.select("kind", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
-    return current.where("attempt > 0")
+    left = again.groupBy("kind").count().collect()
+    raise RuntimeError("no free surrogates: " + ", ".join(f"{r['count']} of type {r.kind}" for r in left))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that the input does not have."""
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
 
 
 def pseudonymise(docs: DataFrame, key: str = "change this key", text: str = "text") -> DataFrame:
@@ -180,22 +214,23 @@ def pseudonymise(docs: DataFrame, key: str = "change this key", text: str = "tex
     entities = stage(entities, "entities")
     taken = stage(retries(entities, key), "retries")
     names = docs.columns
+    attempts, hashed, new_text = (_free(c, names) for c in ("attempts", "hash", "new"))
     if taken.limit(1).count() == 0:
-        marked = docs.withColumn("__attempts", F.lit(None).cast("map<string,int>"))
+        marked = docs.withColumn(attempts, F.lit(None).cast("map<string,int>"))
     else:
         by_text = (
-            docs.select(F.xxhash64(value).alias("__hash"), F.explode(_mentions(value)).alias("mention"))
-            .select("__hash", kind_of(F.col("mention")).alias("kind"), "mention")
+            docs.select(F.xxhash64(value).alias(hashed), F.explode(_mentions(value)).alias("mention"))
+            .select(hashed, kind_of(F.col("mention")).alias("kind"), "mention")
             .withColumn("entity", canonical(F.col("kind"), F.col("mention")))
             .join(taken, ["kind", "entity"])
-            .groupBy("__hash")
-            .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity"), "attempt"))).alias("__attempts"))
+            .groupBy(hashed)
+            .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity"), "attempt"))).alias(attempts))
         )
-        marked = docs.withColumn("__hash", F.xxhash64(value)).join(stage(by_text, "attempts"), "__hash", "left")
+        marked = docs.withColumn(hashed, F.xxhash64(value)).join(stage(by_text, "attempts"), hashed, "left")
 
     def replaced(mention: Column) -> Column:
         def of(kind: Column) -> Column:
-            attempt = F.coalesce(F.element_at(F.col("__attempts"), F.concat_ws("|", kind, canonical(kind, mention))), F.lit(0))
+            attempt = F.coalesce(F.element_at(F.col(attempts), F.concat_ws("|", kind, canonical(kind, mention))), F.lit(0))
             return F.coalesce(surrogate(kind, mention, attempt, key), mention)
 
         return let(kind_of(mention), of)
@@ -207,6 +242,6 @@ def pseudonymise(docs: DataFrame, key: str = "change this key", text: str = "tex
         return F.when(F.size(mentions) == 0, F.struct(value.alias("t"), F.lit(0).alias("n"))).otherwise(F.struct(joined.alias("t"), F.size(mentions).alias("n")))
 
     new = let(_mentions(value), rebuilt)
-    out = marked.withColumn("__new", new)
-    columns = [F.col("__new.t").alias(text) if c == text else F.col(f"`{c}`") for c in names if c != "n_entities"]
-    return out.select(*columns, F.coalesce(F.col("__new.n"), F.lit(0)).cast("long").alias("n_entities"))
+    out = marked.withColumn(new_text, new)
+    columns = [F.col(new_text)["t"].alias(text) if c == text else F.col(f"`{c}`") for c in names if c != "n_entities"]
+    return out.select(*columns, F.coalesce(F.col(new_text)["n"], F.lit(0)).cast("long").alias("n_entities"))

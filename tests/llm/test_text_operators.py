@@ -17,7 +17,7 @@ from basketry.llm.licences import KNOWN, TEXTS, scan
 from basketry.llm.neardup import near_duplicates
 from basketry.llm.pieces import PIECES, Vocabulary, decoded, encode, nbest
 from basketry.llm.quality import good_only, quality
-from basketry.llm.shards import load_map, rebalance, shard
+from basketry.llm.shards import load_map, newest_version, rebalance, shard
 from basketry.llm.substrings import repeated_spans
 
 
@@ -397,6 +397,36 @@ def test_surrogates_that_collide_are_drawn_again(docs, monkeypatch):
     assert not {y for x in found for y in x} & {f"1.1.1.{k}" for k in range(3)}
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [("+1-555-123-4567", "phone"), ("1-555-123-4567", "phone"), ("+15551234567", "phone"), ("5551234567", "phone"), ("+49 30 1234567", "phone"), ("(030) 123-4567", "phone"),
+     ("555-123-4567", "phone"), ('API_KEY = "abcdefgh1234"', "secret"), ("PASSWORD: hunter2hunter2", "secret"), ("my_password=hunter2hunter2", "secret"), ("token=abcdefgh", "secret"),
+     ("api-key: 12345678abc", "secret")],
+)
+def test_forms_of_numbers_and_secrets(docs, text, kind):
+    row = surrogates.pseudonymise(docs(f"before {text} after, on 12 May 2024 at 10:30 for 1,234,567 or 1700000000")).collect()[0]
+    assert row.n_entities == 1 and text.strip('"') not in row.text
+    assert row.text.startswith("before ") and row.text.endswith(" after, on 12 May 2024 at 10:30 for 1,234,567 or 1700000000")
+    kept = re.sub(r"\d", "0", row.text) if kind == "phone" else ""
+    assert kind != "phone" or kept == re.sub(r"\d", "0", f"before {text} after, on 12 May 2024 at 10:30 for 1,234,567 or 1700000000")
+
+
+def test_more_names_than_a_form_has_room_for(docs):
+    """Two letters, of which the last stays: 16 surrogates at most before they grow."""
+    names = [f"{a}i" for a in "BCDFGHKLMNPRSTVZ"]
+    rows = surrogates.pseudonymise(docs(*[f"Mr {n} met Mr {n}" for n in names], "Mr Հայկ left")).collect()
+    found = [re.findall(r"Mr (\w+)", r.text) for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert all(x[0] == x[-1] for x in found)
+    new = [x[0] for x in found]
+    assert len(set(new)) == 17 and not set(new) & {*names, "Հայկ"} and all(n.endswith("i") for n in new[:16])
+
+
+def test_names_of_columns_do_not_clash(spark):
+    df = spark.createDataFrame([("Mr Foo", "a", "b", "c", 7)], "text string, __hash string, __attempts string, __new string, n_entities int")
+    row = surrogates.pseudonymise(df.union(spark.createDataFrame([("Mr Li", "a", "b", "c", 7), ("Mr Ti", "a", "b", "c", 7)], df.schema))).collect()
+    assert all((r["__hash"], r["__attempts"], r["__new"], r.n_entities) == ("a", "b", "c", 1) for r in row)
+
+
 # --- shards
 
 
@@ -417,6 +447,19 @@ def test_shards_are_even_and_slots_gapless(spark, docs, tmp_path):
     assert shard(docs("a").limit(0), shards=3, slots=16).count() == 0
 
 
+def test_a_stored_map_is_edited(spark, docs, tmp_path):
+    rng = random.Random(6)
+    texts, folder = [noise(rng, rng.randrange(1, 300)) for _ in range(300)], str(tmp_path / "map")
+    first = {r.doc_id: r.shard for r in shard(docs(*texts), shards=5, slots=256, folder=folder).collect()}
+    again = {r.doc_id: r.shard for r in shard(docs(*texts), shards=5, slots=256, folder=folder).collect()}
+    grown = {r.doc_id: r.shard for r in shard(docs(*texts), shards=6, slots=256, folder=folder).collect()}
+    assert newest_version(spark, folder) == 4 and first == again
+    moved = [k for k in first if grown[k] != first[k]]
+    assert 0 < len(moved) < 0.4 * len(texts) and set(grown.values()) == set(range(6))
+    with pytest.raises(ValueError, match="256 slots"):
+        shard(docs(*texts), shards=5, slots=64, folder=folder)
+
+
 def test_rebalancing_moves_only_what_it_must():
     sizes = {k: 10 for k in range(100)}
     even = {k: k % 10 for k in range(100)}
