@@ -9,9 +9,11 @@ slots of menus, adverts, forms and the like are left out; the remaining slots ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,6 +57,9 @@ DROPPED_WORDS = set(
     "subscribe subscription signup login search widget toolbar pagination pager masthead skip copyright".split()
 )
 PAGE_WORDS = {"header", "banner", "top", "bar"}
+#: Names that begin so tell what an element has or lacks beside it, not what it is; a part named so is a plain wrapper.
+DESCRIBING = set("with without no not non has have is hide hidden show skip above below before after".split())
+WRAPPERS = {"widget"}
 ARTICLE = {"article", "main"}
 
 
@@ -127,14 +132,31 @@ class Page:
             return "", drop
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         kinds = f"{found.get('class', '')} {re.sub('[0-9]+', '', found.get('id', ''))}"
-        words = {w.lower() for w in _WORD.findall(kinds)}
         if name not in ("html", "body", *ARTICLE):
-            drop = drop or bool(words & DROPPED_WORDS) or (not in_article and "header" in words)
+            drop = drop or any(_names_no_article(kind, in_article) for kind in kinds.split())
         role = found.get("role", "").lower()
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
         return f".{kinds.strip()}@{role}" if kinds.strip() or role else "", bool(drop or role in DROPPED_ROLES or hidden)
 
 
+@functools.lru_cache(1 << 14)
+def _names_no_article(kind: str, in_article: bool) -> bool:
+    """Whether a class or id names a menu, advert or the like: by its first or last word, as in footer-links or site-footer.
+
+    with-sidebar, no-ads or has-comments describe an element that may hold the article, and widget-text wraps one.
+    """
+    words = [w.lower() for w in _WORD.findall(kind)]
+    if not words:
+        return False
+    first, last = words[0], words[-1]
+    if first == "skip" and len(words) > 1 and words[1] in ("link", "links", "nav", "navigation", "to"):
+        return True
+    if len(words) > 1 and first in DESCRIBING:
+        return False
+    named = {last} | ({first} - (WRAPPERS if len(words) > 1 else set()))
+    return bool(named & DROPPED_WORDS) or (not in_article and "header" in named)
+
+
 def hash_text(value: str) -> int:
     """63-bit hash of a string, the same in every process."""
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
@@ -181,39 +203,59 @@ def _slots(page: Page, keys: list[int], template: set[int]) -> Iterator[tuple[in
             yield k, _slot(role if role in template else 0, last)
 
 
+def _gaps(outer: list[int], size: int, inner: list[int]) -> tuple[int, int]:
+    """Least and largest gap of a class's tokens, in rounds of ``size``, in which the places ``inner`` lie; before is after."""
+    if len(outer) == size:
+        low, high = bisect_left(outer, inner[0]), bisect_left(outer, inner[-1])
+        if low == high or low > 0 and high < size:
+            return low % size, high % size
+        if bisect_left(inner, outer[0]) == bisect_left(inner, outer[-1]):
+            return 0, 0
+    found = np.searchsorted(outer, inner) % size
+    return int(found.min()), int(found.max())
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: the order of each class's tokens, the gap of one class in which another lies, and characters by slot."""
+    """By host: the order of each class's tokens, the gap of one class in which another lies, and characters by slot.
+
+    A batch's pages are summed up before they leave the task.
+    """
     for batch in batches:
-        out: list[tuple] = []
-        for host, source, entries in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+        orders: set[tuple] = set()
+        gaps: dict[tuple, tuple[int, int]] = {}
+        chars: dict[tuple, list[int]] = {}
+        for n, (host, source, entries) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
             classes = {e["token"]: e["group"] for e in entries or ()}
             if not classes:
                 continue
             page = Page(source)
             keys = _keys(page)
             sizes = Counter(classes.values())
-            places: dict[int, list[tuple[int, int]]] = {}
+            places: dict[int, list[int]] = {}
             for k, key in enumerate(keys):
                 if key in classes:
-                    places.setdefault(classes[key], []).append((k, key))
+                    places.setdefault(classes[key], []).append(k)
             for group, found in places.items():
                 size = sizes[group]
-                rounds = {tuple(key for _, key in found[r : r + size]) for r in range(0, len(found), size)}
+                rounds = {tuple(keys[k] for k in found[r : r + size]) for r in range(0, len(found), size)}
                 one = next(iter(rounds))
                 good = len(rounds) == 1 and len(set(one)) == size
-                out.append((host, _ORDER, group, 0, hash_text(str(one)) if good else -1 - len(out), 0))
+                orders.add((host, group, hash_text(str(one)) if good else -1 - n))
                 for other, inner in places.items():
                     if other != group:
-                        gaps = np.searchsorted([k for k, _ in found], [k for k, _ in inner]) % size
-                        out.append((host, _GAP, group, other, int(gaps.min()), int(gaps.max())))
-            chars: dict[int, list[int]] = {}
+                        low, high = _gaps(found, size, inner)
+                        at = host, group, other
+                        was = gaps.get(at)
+                        gaps[at] = (low, high) if was is None else (min(low, was[0]), max(high, was[1]))
             for k, slot in _slots(page, keys, set(classes)):
                 _, text, dropped, article, link, _ = page.tokens[k]
                 if not dropped:
-                    sums = chars.setdefault(slot, [0, 0])
+                    sums = chars.setdefault((host, slot), [0, 0])
                     sums[0] += len(text)
                     sums[1] += len(text) if link and not article else 0
-            out += [(host, _SLOT, slot, 0, a, b) for slot, (a, b) in chars.items()]
+        out = [(host, _ORDER, group, 0, order, 0) for host, group, order in orders]
+        out += [(host, _GAP, group, other, low, high) for (host, group, other), (low, high) in gaps.items()]
+        out += [(host, _SLOT, slot, 0, a, b) for (host, slot), (a, b) in chars.items()]
         columns = list(zip(*out, strict=True)) or [()] * 6
         kinds = [pa.string(), pa.int32(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "kind", "a", "b", "low", "high"])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm.templates import extract
+from basketry.llm.templates import _gaps, extract
 from basketry.llm.transcripts import ROLES, fit, parse, raw_transcripts
 
 PAGE = """<html><head><title>T &amp; x</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies</div>
@@ -32,6 +34,44 @@ def test_template_and_slots(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+ARTICLE_TEXT = "This is the article of page {0} and its words {0} differ."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content with-sidebar"><article><p>{0}</p></article></div>', '<body class="x"><div class="layout no-sidebar"><article><p>{0}</p></article></div>',
+        '<div class="post has-comments"><article>{0}</article></div>', '<div class="entry widget-text"><article>{0}</article></div>',
+        '<div class="elementor-widget-text-editor"><article>{0}</article></div>', '<main><div class="skip-ads">{0}</div></main>',
+    ],
+)
+def test_wrappers_keep_their_article(spark, page):
+    rows = [(k, f"http://one.example/{k}", "<html><body>" + page.format(ARTICLE_TEXT.format(k)) + '<div class="site-footer">foot</div></body></html>') for k in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ARTICLE_TEXT.format(k) for k in range(6)}
+
+
+def test_only_the_template_tells(spark):
+    """No article, menu or class: what a host's pages share goes, what differs stays."""
+    rows = [
+        (k, f"http://two.example/{k}", f"<html><body><table><tr><td>Home</td><td>About us</td></tr></table><div><p>{ARTICLE_TEXT.format(k)}</p><p>More on {k}.</p></div><table><tr><td>Imprint and more</td></tr></table></body></html>")
+        for k in range(8)
+    ]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{ARTICLE_TEXT.format(k)}\nMore on {k}." for k in range(8)}
+
+
+def test_gaps_equal_a_scan():
+    rng = random.Random(3)
+    for _ in range(300):
+        size, rounds = rng.randrange(1, 4), rng.choice([1, 1, 2])
+        places = sorted(rng.sample(range(40), size * rounds + rng.randrange(1, 6)))
+        outer = sorted(rng.sample(places, size * rounds))
+        inner = [p for p in places if p not in outer]
+        found = [sum(o < p for o in outer) % size for p in inner]
+        assert _gaps(outer, size, inner) == (min(found), max(found))
+
+
 def test_articles_of_the_test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in extract(pages).collect()}
