@@ -17,7 +17,7 @@ from basketry.llm.simhash import simhash_duplicates
 from basketry.llm.substrings import repeated_spans
 from basketry.llm.surrogates import pseudonymise
 from basketry.llm.templates import extract
-from basketry.llm.transcripts import fit, parse, raw_transcripts
+from basketry.llm.transcripts import fit, marked_turns, parse, raw_transcripts
 from basketry.llm.winnowing import decontaminate
 
 QUERIES = {}
@@ -89,9 +89,12 @@ def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns recovered from all conversations as plain logs; the model is fitted on the even conversations."""
-    logs = raw_transcripts(table(spark, sf_dir, "conversations"))
-    return parse(logs, fit(logs.where(F.pmod("conv_id", F.lit(2)) == 0)))
+    """Turns recovered from all conversations as plain logs, cut into pieces anywhere.
+
+    The labelled sample that the model is fitted on are the turns of the even conversations.
+    """
+    talks = table(spark, sf_dir, "conversations")
+    return parse(raw_transcripts(talks), fit(marked_turns(talks).where(F.pmod("conv_id", F.lit(2)) == 0)))
 
 
 @query

@@ -31,7 +31,7 @@ MARKERS = {
     "assistant": r"^\s*(?:\*\*|\[|<\|?)?(?:assistant|ai|bot|agent|model|a|answer)(?:\*\*|\]|\|?>)?\s*[:>]",
 }
 _MARKER = re.compile("|".join(MARKERS.values()))
-FEATURES = {"marker": len(ROLES) + 1, "length": 6, "question": 2, "gap": 3}
+FEATURES = {"marker": len(ROLES) + 1, "length": 6, "question": 2, "gap": 2}
 
 
 def lines_of(pieces: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def lines_of(pieces: DataFrame) -> DataFrame:
         marker = marker.when(low.rlike(MARKERS[role]), F.lit(k + 1))
     size = F.length("line")
     length = sum((F.when(size > n, 1).otherwise(0) for n in (20, 60, 160, 400, 1000)), F.lit(0))
-    blank = F.when(F.col("line_no") == 0, F.lit(2)).when(F.try_element_at("all", F.col("line_no")).rlike(r"\S"), F.lit(0)).otherwise(F.lit(1))
+    # a blank line before it within its piece; where pieces begin tells nothing
+    blank = F.when((F.col("line_no") > 0) & ~F.get("all", F.col("line_no") - 1).rlike(r"\S"), F.lit(1)).otherwise(F.lit(0))
     return raw.select(
         "conv_id", F.floor(F.col("seq") / BLOCK).cast("long").alias("block"), "seq", "line_no", "line", *others,
         marker.otherwise(F.lit(0)).alias("marker"), length.cast("int").alias("length"), F.col("line").rlike(r"\?\s*$").cast("int").alias("question"), blank.cast("int").alias("gap"),
@@ -61,7 +62,7 @@ def fit(labelled: DataFrame) -> dict:
     left out, as are wordless turns.
     """
     lines = lines_of(labelled.select("conv_id", "seq", "role", "text")).where(F.col("role").isin(*ROLES))
-    order = Window.partitionBy("conv_id", "block").orderBy("seq", "line_no", "line")
+    order = Window.partitionBy("conv_id").orderBy("seq", "line_no", "line")
     role = sum((F.when(F.col("role") == r, F.lit(k)).otherwise(0) for k, r in enumerate(ROLES)), F.lit(0))
     state = 2 * role + F.when(F.lag("seq").over(order) == F.col("seq"), 1).otherwise(0)
     stated = lines.withColumn("state", state).withColumn("before", F.lag("state").over(order))
@@ -199,8 +200,8 @@ def parse(pieces: DataFrame, fitted: dict) -> DataFrame:
     """One row per recovered turn: conv_id, seq, line_no (of its first line), role, text, n_lines, continued, rendered.
 
     ``pieces`` (conv_id, seq, text) are raw stretches of transcripts, in order of seq; one may hold many turns or part
-    of one. Lines of white space only separate. ``continued`` marks a stretch that goes on with a turn across a
-    block's border. Null and empty texts have no lines and give no turns; a null seq comes first, a null conv_id is a
+    of one; a turn that goes on in other pieces or blocks is one row. Lines of white space only separate. ``continued``
+    marks a conversation that begins in the middle of a turn. Null and empty texts have no lines and give no turns; a null seq comes first, a null conv_id is a
     conversation of its own; equal seqs (repeated rows) follow each other in order of their lines. Other columns are
     ignored.
     """
@@ -216,18 +217,47 @@ def parse(pieces: DataFrame, fitted: dict) -> DataFrame:
         .sortWithinPartitions(*keys, "seq", "line_no", "line")
         .mapInArrow(_decoded(fitted), "conv_id long, seq long, line_no int, role string, text string, n_lines long, continued boolean")
     )
+    turns = _merged(turns)
     return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")))
 
 
+def _merged(turns: DataFrame) -> DataFrame:
+    """Stretches that go on with a turn across a block's border become part of it; only the first of a block can.
+
+    Places are compared within a conversation, and texts of stretches that stand alone are not gathered.
+    """
+    order = Window.partitionBy("conv_id").orderBy("seq", "line_no", "text")
+    numbered = stage(turns, "stretches").withColumn("turn", F.sum((~F.col("continued")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    follows = F.coalesce(F.lead("turn").over(order) == F.col("turn"), F.lit(False)) | F.coalesce(F.lag("turn").over(order) == F.col("turn"), F.lit(False))
+    marked = stage(numbered.withColumn("parted", follows), "stretches")
+    names = ["conv_id", "seq", "line_no", "role", "text", "n_lines", "continued"]
+    parts = F.array_sort(F.collect_list(F.struct("seq", "line_no", "text", "role", "n_lines", "continued")))
+    joined = marked.where("parted").groupBy("conv_id", "turn").agg(parts.alias("p")).select(
+        "conv_id", F.col("p")[0]["seq"].alias("seq"), F.col("p")[0]["line_no"].alias("line_no"), F.col("p")[0]["role"].alias("role"),
+        F.array_join(F.col("p")["text"], "\n").alias("text"), F.aggregate(F.col("p")["n_lines"], F.lit(0).cast("long"), lambda a, x: a + x).alias("n_lines"), F.col("p")[0]["continued"].alias("continued"),
+    )
+    return marked.where("NOT parted").select(*names).union(joined.select(*names))
+
+
 #: Ways in which logs name user, assistant and system; a style without names has none.
 STYLES = [("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "Instructions: "), ("Q: ", "A: ", "Context: "), ("**User**: ", "**Assistant**: ", "**System**: "), ("[user]: ", "[bot]: ", "[system]: ")]
 
 
-def raw_transcripts(conversations: DataFrame, unmarked: int = 4) -> DataFrame:
-    """(conv_id, seq, text): conversations as plain logs in the style of each; one turn in ``unmarked`` has no marker."""
+def marked_turns(conversations: DataFrame, unmarked: int = 4) -> DataFrame:
+    """(conv_id, seq, role, text): turns in the style of their conversation; one in ``unmarked`` has no marker."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     names = F.array(*[F.struct(*[F.lit(n).alias(r) for r, n in zip(("user", "assistant", "system"), s, strict=True)]) for s in STYLES])
     own = F.get(names, style.cast("int"))
     marked = F.pmod(F.xxhash64("conv_id", "turn", F.lit("marker")), F.lit(unmarked)) > 0
     prefix = F.when(marked & F.col("role").isin(*ROLES), F.when(F.col("role") == "user", own["user"]).when(F.col("role") == "system", own["system"]).otherwise(own["assistant"])).otherwise("")
     return conversations.select("conv_id", F.col("turn").alias("seq"), "role", F.concat(prefix, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def raw_transcripts(conversations: DataFrame, unmarked: int = 4, lines: int = 5) -> DataFrame:
+    """(conv_id, seq, text): conversations as plain logs in pieces of ``lines`` lines, wherever turns begin."""
+    turns = marked_turns(conversations, unmarked)
+    every = turns.select("conv_id", "seq", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "line_no", "line")) - 1
+    placed = every.withColumn("place", place).withColumn("piece", F.floor(F.col("place") / lines))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return placed.groupBy("conv_id", "piece").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text")).select("conv_id", F.col("piece").alias("seq"), "text")
