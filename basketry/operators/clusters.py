@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.ordering import medians
 from basketry.functions.scalars import attach_row
+from basketry.operators.kmeans import fit_restarts
 from basketry.session import stage
 
 # The two sets of clustering inputs.
@@ -27,7 +28,7 @@ FULL_FEATURES = [
 
 
 def add_clusters(customers: DataFrame, features: Sequence[str], k: int = 5, restarts: int = 20, seed: int = 42) -> DataFrame:
-    """Add ``cluster``: the best of several seeded k-means runs on standardised features.
+    """Add ``cluster``: the best of several seeded k-means runs, side by side, on standardised features.
 
     Infinite and missing inputs take the exact median (0 where a column has none); the
     input columns themselves stay as they were.
@@ -40,10 +41,8 @@ def add_clusters(customers: DataFrame, features: Sequence[str], k: int = 5, rest
     filled = base.select("user_id", *[F.coalesce(v, F.lit(float(middle[c] or 0.0))).alias(c) for c, v in number.items()])
     raw = VectorAssembler(inputCols=used, outputCol="_raw").transform(filled)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw)
-    data = stage(scaler.transform(raw).select("user_id", "features"), "cluster-vectors")
-    fits = [KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-4).fit(data) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return base.join(best.transform(data).select("user_id", F.col("prediction").alias("cluster")), "user_id")
+    data = stage(scaler.transform(raw).select("user_id", vector_to_array("features").alias("x")), "cluster-vectors")
+    return base.join(fit_restarts(data, k, restarts, seed).predict(data), "user_id")
 
 
 def cluster_profile(clustered: DataFrame, features: Sequence[str]) -> DataFrame:

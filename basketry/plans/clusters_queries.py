@@ -10,15 +10,15 @@ from basketry.operators import segments as sg
 from basketry.plans.catalog import query
 from basketry.plans.customers_queries import FIXTURE_EVENT_TYPES, MART_INPUTS, cluster_mart, sales
 from basketry.session import stage
-from basketry.sources.tables import event_log
+from basketry.sources.tables import event_log, stamp
 
 
 _CLUSTERED = {}
 
 
 def clustered(spark, d):
-    """One fit for the queries of a session that show it."""
-    key = (spark.sparkContext.applicationId, d)
+    """One fit for the queries of a session that show it; another after a table was written again."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, ["lineitem", "orders", "customer", "part", "nation", "region", "events", "documents"]))
     if key not in _CLUSTERED:
         _CLUSTERED[key] = stage(cl.add_clusters(cluster_mart(spark, d), cl.FULL_FEATURES), "clustered")
     return _CLUSTERED[key]

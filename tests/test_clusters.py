@@ -2,7 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+
 from basketry.operators import clusters as cl
+from basketry.operators import kmeans as km
 
 
 def test_planted_groups_are_found_and_gaps_are_filled(spark):
@@ -23,3 +29,40 @@ def test_planted_groups_are_found_and_gaps_are_filled(spark):
     assert cl.with_cluster_label(out).where("cluster_label IS NULL").isEmpty()
     profile = cl.cluster_profile(out, ["total_revenue"]).collect()
     assert sum(r["users_cnt"] for r in profile) == 120
+
+
+def plain(x, h, k, restart, seed, rounds=100):
+    """The same run in one place."""
+    centres = x[[min(range(len(x)), key=lambda i: (-np.log(km._uniform(h[i : i + 1], restart, 0, seed)[0]), h[i]))]]
+    while len(centres) < k:
+        weight = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        draw = -np.log(km._uniform(h, restart, len(centres), seed)) / np.maximum(weight, 1e-300)
+        centres = np.concatenate((centres, x[[int(np.argmin(np.where(weight > 1e-12, draw, np.inf)))]]))
+    for _ in range(rounds):
+        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        after = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(k)])
+        moved, centres = np.sqrt(((after - centres) ** 2).sum(axis=1)).max(), after
+        if moved <= 1e-4:
+            break
+    return ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_restarts_side_by_side_equal_runs_by_themselves(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 4)) + 3 * rng.integers(0, 4, (300, 1)), 3)
+    df = spark.createDataFrame([(int(k), r.tolist()) for k, r in enumerate(x)], "user_id long, x array<double>")
+    found = km.fit_restarts(df.repartition(3), 5, 6, 7)
+    h = np.array([r.h for r in df.selectExpr("user_id", "xxhash64(user_id, x) AS h").orderBy("user_id").collect()])
+    assert found.costs == pytest.approx([plain(x, h, 5, r, 7) for r in range(6)], rel=1e-6)
+    best = KMeans(k=5, seed=1, maxIter=100).fit(df.select(array_to_vector("x").alias("features"))).summary.trainingCost
+    assert min(found.costs) <= 1.05 * best
+    own = {r.user_id: r.cluster for r in found.predict(df).collect()}
+    assert all(own[k] == ((r - found.centres) ** 2).sum(axis=1).argmin() for k, r in enumerate(x))
+
+
+def test_fewer_different_rows_than_clusters(spark):
+    df = spark.createDataFrame([(k, [float(k % 2), 0.0]) for k in range(9)], "user_id long, x array<double>")
+    found = km.fit_restarts(df, 5, 3, 1)
+    assert len(found.centres) == 2 and max(found.costs) == 0.0
+    assert len({r.cluster for r in found.predict(df).collect()}) == 2
+    assert km.fit_restarts(df.limit(0), 5, 3, 1).costs == []
