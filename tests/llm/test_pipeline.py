@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 import __spark_entry__
 from basketry.llm import neardup
@@ -39,6 +41,38 @@ def test_near_dedup_joins_pairs_between_80_and_85(spark):
     assert kept == {0, 10, 20, 21}
 
 
+def test_decontamination_equals_a_search_for_every_window(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    windows = set()
+    for item in items:
+        own = words(item.text)
+        windows |= {tuple(own[k : k + 10]) for k in range(max(1, len(own) - 9))} if own else set()
+    sizes = {len(w) for w in windows}
+    clean = {
+        d.doc_id for d in docs.collect()
+        if not any(tuple(w[k : k + n]) in windows for w in [words(d.text)] for n in sizes for k in range(len(w) - n + 1))
+    }
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, FOLDER)
+    assert {r.doc_id for r in kept.collect()} == clean and 0 < len(clean) < docs.count()
+
+
+def test_personal_data_goes_and_the_rest_stays(spark):
+    docs = spark.createDataFrame(
+        [(1, "write to Foo.Bar@x.com or call +1-555-123-4567 now", "en", "s", 9), (2, "nothing here", "en", "s", 12), (3, None, None, None, None), (4, "Mr Foo met Foo.Bar@x.com", "en", "s", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    got = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, docs, FOLDER).collect()}
+    assert got[2].text == "nothing here" and got[3].text is None and got[3].n_chars is None
+    assert re.fullmatch(r"write to (\S+@\S+) or call \+1-\d{3}-\d{3}-\d{4} now", got[1].text) and "Foo" not in got[1].text and "555-123-4567" not in got[1].text
+    assert re.search(r"\S+@\S+", got[1].text)[0] == re.search(r"\S+@\S+", got[4].text)[0] and not got[4].text.startswith("Mr Foo ")
+    assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+
+
 def test_banding_finds_pairs_at_the_pipelines_threshold():
     found = (1 - (1 - 0.8**neardup.ROWS) ** neardup.BANDS) ** 2
     assert found >= 0.9998
