@@ -9,7 +9,6 @@ slots of menus, adverts, forms and the like are left out; the remaining slots ar
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import html
 import re
@@ -114,7 +113,7 @@ class Page:
                 close(SIBLINGS[name], SCOPES[name])
             _, above, dropped, article, link = stack[-1]
             marks, drop = self._marks(name, found[3], article or name in ARTICLE)
-            role = hash_text(f"{above}/{name}{marks}")
+            role = _remembered(_role, above, name, marks)
             self.tokens.append((role, None, dropped or drop, article or name in ARTICLE, link or name == "a", block))
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
@@ -128,18 +127,33 @@ class Page:
     def _marks(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
         """What of the attributes belongs to the role, and whether they or the tag name something other than an article."""
         drop = name in DROPPED_TAGS or (name == "header" and not in_article)
-        if not _TELLING.search(attributes):
-            return "", drop
+        return _remembered(Page._told, name, attributes, in_article, drop) if _TELLING.search(attributes) else ("", drop)
+
+    @staticmethod
+    def _told(name: str, attributes: str, in_article: bool, drop: bool) -> tuple[str, bool]:
+        """_marks() of attributes with something to tell, which the pages of a host repeat."""
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         kinds = f"{found.get('class', '')} {re.sub('[0-9]+', '', found.get('id', ''))}"
         if name not in ("html", "body", *ARTICLE):
-            drop = drop or any(_names_no_article(kind, in_article) for kind in kinds.split())
+            drop = drop or any(_remembered(_names_no_article, kind, in_article) for kind in kinds.split())
         role = found.get("role", "").lower()
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
         return f".{kinds.strip()}@{role}" if kinds.strip() or role else "", bool(drop or role in DROPPED_ROLES or hidden)
 
 
-@functools.lru_cache(1 << 14)
+#: What a worker has worked out of late; pages of a host repeat it. (A plain dictionary travels with the functions.)
+_MEMORY: dict[tuple, object] = {}
+
+
+def _remembered(work, *given):
+    key = (work.__name__, *given)
+    if (found := _MEMORY.get(key)) is None:
+        if len(_MEMORY) > 1 << 16:
+            _MEMORY.clear()
+        found = _MEMORY[key] = work(*given)
+    return found
+
+
 def _names_no_article(kind: str, in_article: bool) -> bool:
     """Whether a class or id names a menu, advert or the like: by its first or last word, as in footer-links or site-footer.
 
@@ -162,6 +176,11 @@ def hash_text(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
+def _role(above: int, name: str, marks: str) -> int:
+    """Hash of a role from that of the element above; pages of a host have few different ones."""
+    return hash_text(f"{above}/{name}{marks}")
+
+
 def _plain(value: str) -> str:
     return " ".join((html.unescape(value) if "&" in value else value).split())
 
