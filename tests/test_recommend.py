@@ -121,6 +121,31 @@ def test_factorization_lists(spark, rows):
     assert agree >= 0.9 * len(best)
 
 
+def test_factorization_lists_need_no_long_lists(rows, monkeypatch):
+    # every user has seen other items; the pseudo items of the attributes have the largest scores of all
+    pairs = rows("UserId long, ItemId long, Value double", *[(u, i, 1.0 + (u + i) % 3) for u in range(8) for i in range(20) if (u * 7 + i) % 4 == 0], (None, 3, 1.0), (3, None, 1.0))
+    users = rows("UserId long, a float, b float", *[(u, 1.0, 1.0) for u in range(8)])
+    items = rows("ItemId long, a float", *[(i, 1.0) for i in range(20)])
+    lookup = rows("ItemId long, product_name string, category string, brand string, item_quality_risk double", *[(i, f"p{i}", "c", "b", 0.1) for i in range(19)])
+    fitted = fz.fit_factorization(pairs, users, items, rank=3, rounds=3)
+
+    def long_lists(*_):
+        raise AssertionError("lists with all pseudo and seen items")
+
+    monkeypatch.setattr(type(fitted.model), "recommendForUserSubset", long_lists)
+    got = fz.recommend(fitted, pairs, lookup, rows("user_id long", *[(u,) for u in range(8)], (None,), (99,)), n=4).collect()
+    u_of, i_of = {r.u: r.UserId for r in fitted.users.collect()}, {r.i: r.ItemId for r in fitted.items.collect()}
+    uf = {u_of[r.id]: r.features for r in fitted.model.userFactors.collect() if u_of.get(r.id) is not None}
+    vf = {i_of[r.id]: r.features for r in fitted.model.itemFactors.collect() if i_of.get(r.id) is not None}
+    seen = {(r.UserId, r.ItemId) for r in pairs.collect()}
+    for u, f in uf.items():
+        order = sorted((-sum(a * b for a, b in zip(f, g)), i) for i, g in vf.items() if (u, i) not in seen)[:4]
+        own = sorted((r["rank"], r.recommended_product_id, r.score, r.product_name) for r in got if r.user_id == u)
+        assert [(i, pytest.approx(-s)) for s, i in order] == [(i, s) for _, i, s, _ in own]
+        assert all(name == (f"p{i}" if i < 19 else None) for _, i, _, name in own)
+    assert {r.user_id for r in got} == set(uf)
+
+
 def test_offer_targets(rows):
     lines = rows(
         "user_id long, order_id long, product_id long, created_at timestamp, sale_price double, is_cancelled int, is_returned int",
