@@ -94,3 +94,10 @@ def test_stage_refuses_a_cluster_without_a_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         shared_folder(Session())
     assert stage(spark.range(3)).count() == 3
+
+
+def test_lines_are_compared_once(rows):
+    raw = rows("order_id int, age string, sale_price string, city string", (1, "30", "5.0", " a "), (1, "30", "5.0", "a"), (2, None, "-1", "nan"))
+    out = cl.clean_orders(raw)
+    assert out.inputFiles() and all("different-lines" in f for f in out.inputFiles())
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 30.0, 5.0, "a"), (2, 30.0, 5.0, "Unknown")]
