@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from basketry.session import stage
 
 
+#: Rows whose distances are held at a time.
+_SLICE = 2048
+
+
 def _uniform(ids: np.ndarray, restart: int, step: int, seed: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on a row's hash, the restart and the step alone."""
     with np.errstate(over="ignore"):
@@ -63,17 +67,15 @@ def _sums(centres: np.ndarray):
         restarts, k, width = centres.shape
         costs, counts, sums = np.zeros(restarts), np.zeros((restarts, k)), np.zeros((restarts, k, width))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _rows(batch)
-            for r in range(restarts):
-                far = _distances2(x, centres[r])
-                own = far.argmin(axis=1)
-                costs[r] += far[np.arange(len(x)), own].sum()
-                for c in range(k):
-                    members = x[own == c]
-                    counts[r, c] += len(members)
-                    sums[r, c] += members.sum(axis=0)
+            for at in range(0, batch.num_rows, _SLICE):
+                x = _rows(batch.slice(at, _SLICE))
+                # one product for the distances to all centres of all restarts, one for the sums of their rows
+                far = _distances2(x, centres.reshape(-1, width)).reshape(len(x), restarts, k)
+                own = far.argmin(axis=2)
+                costs += np.take_along_axis(far, own[:, :, None], axis=2).sum(axis=(0, 2))
+                belongs = (own[:, :, None] == np.arange(k)).astype(np.float64)
+                counts += belongs.sum(axis=0)
+                sums += (belongs.reshape(len(x), -1).T @ x).reshape(restarts, k, width)
         flat = np.concatenate((costs, counts.ravel(), sums.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], ["sums"])
 

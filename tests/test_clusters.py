@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -66,3 +67,18 @@ def test_fewer_different_rows_than_clusters(spark):
     assert len(found.centres) == 2 and max(found.costs) == 0.0
     assert len({r.cluster for r in found.predict(df).collect()}) == 2
     assert km.fit_restarts(df.limit(0), 5, 3, 1).costs == []
+
+
+def test_sums_of_all_restarts_at_once(monkeypatch):
+    made = np.random.default_rng(3)
+    x, centres = made.normal(size=(5000, 4)), made.normal(size=(6, 3, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], ["x"])
+    asked, distances = [], km._distances2
+    monkeypatch.setattr(km, "_distances2", lambda rows, c: asked.append((len(rows), len(c))) or distances(rows, c))
+    found = next(km._sums(centres)(iter([batch.slice(0, 10), batch.slice(10)])))["sums"][0].as_py()
+    assert all(n <= 2048 and c == 18 for n, c in asked) and sum(n for n, _ in asked) == 5000
+    far = ((x[:, None, None, :] - centres[None]) ** 2).sum(axis=3)
+    own = far.argmin(axis=2)
+    counts = np.array([[(own[:, r] == c).sum() for c in range(3)] for r in range(6)])
+    sums = np.array([[x[own[:, r] == c].sum(axis=0) for c in range(3)] for r in range(6)])
+    assert np.allclose(found, np.concatenate((far.min(axis=2).sum(axis=0), counts.ravel(), sums.ravel())))
