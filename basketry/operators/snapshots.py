@@ -1,8 +1,9 @@
 """Point-in-time customer panel: features before each snapshot, orders after it.
 
-All snapshots are built in one job. Lines are first summed by (user, day); only these small
-rows are copied to the snapshots whose window holds the day (at most the number of
-snapshots), so no range join and no per-snapshot pass is needed.
+All snapshots are built in one job. Lines are first summed by (user, day), and their values
+counted by (user, value) for all snapshots at once; only these small rows are copied to the
+snapshots whose window holds them (at most the number of snapshots), so no range join and no
+per-snapshot pass is needed.
 """
 
 from __future__ import annotations
@@ -76,9 +77,9 @@ def snapshot_dates(orders: DataFrame, window: int = WINDOW_DAYS, gap: int = GAP_
     return sorted(r["snapshot_date"] for r in snapshot_calendar(orders, window, gap, keep).collect())
 
 
-def _snapshots_where(dates: Sequence[date], holds) -> Column:
-    """Explode a row to the snapshots that ``holds`` accepts."""
-    return F.explode(F.filter(F.array(*[F.lit(d) for d in dates]), holds)).alias("snapshot_date")
+def _in_history(window: int):
+    """Whether a snapshot's window of days before it holds the row's day."""
+    return lambda s: (s > F.col("_day")) & (s <= F.date_add("_day", window))
 
 
 def _before(df: DataFrame, dates: Sequence[date], window: int) -> DataFrame:
@@ -89,24 +90,26 @@ def _before(df: DataFrame, dates: Sequence[date], window: int) -> DataFrame:
 
 
 def _to_history(df: DataFrame, dates: Sequence[date], window: int, columns: Sequence[str]) -> DataFrame:
-    day = F.col("_day")
-    return df.select(*columns, _snapshots_where(dates, lambda s: (s > day) & (s <= F.date_add(day, window))))
+    return df.select(*columns, F.explode(F.filter(F.array(*[F.lit(d) for d in dates]), _in_history(window))).alias("snapshot_date"))
 
 
-def _values_by_day(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(user, day, field, value): rows and newest time of every value."""
-    texts = [F.col(c).cast("string").alias(c) for c in fields]
-    long = df.select("user_id", "_day", "created_at", *texts).unpivot(["user_id", "_day", "created_at"], list(fields), "_field", "_value")
-    return long.where(F.col("_value").isNotNull()).groupBy("user_id", "_day", "_field", "_value").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("created_at").alias("_at")
-    )
-
+def _values_by_snapshot(df: DataFrame, dates: Sequence[date], holds, fields: Sequence[str], newest: str) -> DataFrame:
+    """(snapshot, user, field, value): rows (``_n``) and largest ``newest`` (``_newest``) of every value.
 
-def _values_by_snapshot(df: DataFrame, dates: Sequence[date], window: int, fields: Sequence[str]) -> DataFrame:
-    spread = _to_history(_values_by_day(df, fields), dates, window, ["user_id", "_day", "_field", "_value", "_n", "_at"])
-    return spread.groupBy(*KEYS, "_field", "_value").agg(
-        F.sum("_n").alias("_n"), F.max("_at").alias("_at"), F.max("_day").alias("_last_day")
+    The rows are counted for all snapshots at once, by (user, field, value), and copied to the snapshots afterwards: what is
+    shuffled does not grow with the number of windows that hold a day, and is combined map-side before.
+    """
+    texts = [F.col(c).cast("string").alias(f"_text_{c}") for c in fields]
+    kept = list(dict.fromkeys(["user_id", "_day", newest]))
+    pairs = [F.struct(F.lit(c).alias("_field"), F.col(f"_text_{c}").alias("_value")) for c in fields]
+    long = df.select(*kept, *texts).select(*kept, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
+    held = [holds(F.lit(d)) for d in dates]
+    counted = long.groupBy("user_id", "_field", "_value").agg(
+        *[F.count_if(h).alias(f"_n{i}") for i, h in enumerate(held)],
+        *[F.max(F.when(h, F.col(newest))).alias(f"_m{i}") for i, h in enumerate(held)],
     )
+    each = [F.struct(F.lit(d).alias("snapshot_date"), F.col(f"_n{i}").alias("_n"), F.col(f"_m{i}").alias("_newest")) for i, d in enumerate(dates)]
+    return counted.select("user_id", "_field", "_value", F.inline(F.filter(F.array(*each), lambda x: x["_n"] > 0)))
 
 
 def _additive(lines: DataFrame, dates: Sequence[date], window: int) -> DataFrame:
@@ -162,7 +165,7 @@ def _additive(lines: DataFrame, dates: Sequence[date], window: int) -> DataFrame
 def _profile(lines: DataFrame, dates: Sequence[date], window: int) -> DataFrame:
     """Distinct counts, favourites, median age and recent order counts."""
     fields = ["order_id", "category", "product_id", "brand", "traffic_source", "gender", "state", "age"]
-    values = _values_by_snapshot(lines, dates, window, fields)
+    values = _values_by_snapshot(lines, dates, _in_history(window), fields, "_day")
     is_order = F.col("_field") == "order_id"
     age = F.when(F.col("_field") == "age", F.col("_value").try_cast("double"))
     out = values.groupBy(*KEYS).agg(
@@ -172,19 +175,20 @@ def _profile(lines: DataFrame, dates: Sequence[date], window: int) -> DataFrame:
         distinct_in("brand").alias("unique_brands"),
         *[mode_in(c).alias(n) for n, c in [("favorite_category", "category"), ("favorite_brand", "brand"), ("traffic_source", "traffic_source"), ("gender", "gender"), ("state", "state")]],
         F.percentile(age, F.lit(0.5), F.col("_n")).alias("age"),
-        *[F.count_if(is_order & (F.col("_last_day") >= F.date_sub("snapshot_date", d))).alias(f"_orders_{d}d") for d in (30, 90)],
+        *[F.count_if(is_order & (F.col("_newest") >= F.date_sub("snapshot_date", d))).alias(f"_orders_{d}d") for d in (30, 90)],
     )
     return out.na.fill("Unknown", ["favorite_category", "favorite_brand", "traffic_source", "gender", "state"])
 
 
 def _events(events: DataFrame, dates: Sequence[date], window: int, event_types: Sequence[str]) -> DataFrame:
-    values = _values_by_snapshot(events.withColumn("_day", F.col("event_date")), dates, window, ["event_date", "session_id", "event_type"])
+    fields = ["event_date", "session_id", "event_type"]
+    values = _values_by_snapshot(events.withColumn("_day", F.col("event_date")), dates, _in_history(window), fields, "created_at")
     by_type = F.col("_field") == "event_type"
     out = values.groupBy(*KEYS).agg(
         F.sum(F.when(F.col("_field") == "event_date", F.col("_n"))).alias("events_cnt"),
         distinct_in("session_id").alias("sessions_cnt"),
         distinct_in("event_date").alias("active_days"),
-        F.max("_at").alias("last_event_at"),
+        F.max("_newest").alias("last_event_at"),
         F.coalesce(mode_in("event_type"), F.lit("Unknown")).alias("favorite_event_type"),
         *[F.coalesce(F.sum(F.when(by_type & (F.col("_value") == t), F.col("_n"))), F.lit(0)).alias(f"event_{t.lower()}_cnt") for t in event_types],
     )
@@ -194,10 +198,10 @@ def _events(events: DataFrame, dates: Sequence[date], window: int, event_types:
 def _future_orders(orders: DataFrame, dates: Sequence[date], gap: int) -> DataFrame:
     first, end = min(dates), max(dates) + timedelta(days=gap)
     at, day = F.col("created_at"), F.col("_day")
+    held = lambda s: (s <= day) & (s > F.date_sub(day, gap))
     ahead = orders.where((at >= F.lit(str(first)).cast("timestamp")) & (at < F.lit(str(end)).cast("timestamp")))
-    once = ahead.select("user_id", "order_id", F.to_date("created_at").alias("_day")).distinct()
-    spread = once.select("user_id", "order_id", _snapshots_where(dates, lambda s: (s <= day) & (s > F.date_sub(day, gap))))
-    return spread.groupBy(*KEYS).agg(F.countDistinct("order_id").alias("future_orders_cnt"))
+    orders_ahead = _values_by_snapshot(ahead.withColumn("_day", F.to_date("created_at")), dates, held, ["order_id"], "_day")
+    return orders_ahead.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("future_orders_cnt"))
 
 
 def snapshot_panel(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -20,7 +21,7 @@ DATES = [date(2024, 7, 1), date(2024, 8, 1)]
 
 
 def line(order, user, at, category="a", age=20.0, returned=False, price=10.0):
-    return (order, user, order % 5, category, "b", "ads", "F", "S", age, True, "Complete", at, None, None, at if returned else None, 1, price, 4.0, "good")
+    return (order, user, (order or 0) % 5, category, "b", "ads", "F", "S", age, True, "Complete", at, None, None, at if returned else None, 1, price, 4.0, "good")
 
 
 def build(rows, lines, events=(), **kw):
@@ -100,3 +101,21 @@ def test_calendar(rows):
     # first: 5 Jan + 180 days = 4 July -> 1 August; last: 30 June - 120 days = 2 March -> 1 March
     assert found[0] == date(2023, 8, 1) and found[-1] == date(2024, 3, 1) and len(found) == 8
     assert sn.snapshot_dates(rows("created_at timestamp", (datetime(2024, 1, 1),))) == []
+
+
+def test_values_are_shuffled_once_whatever_the_windows(rows):
+    """Values are counted by user for all snapshots at once; no shuffle deals copies of them by snapshot and value."""
+    lines = [line(i, i % 3, datetime(2024, 6, 1 + i)) for i in range(12)]
+    plan = build(rows, lines)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert any("_value" in keys for keys in dealt)
+    assert not [keys for keys in dealt if "snapshot_date" in keys and ("_value" in keys or "order_id" in keys)]
+
+
+def test_repeated_and_missing_values_of_a_user(rows):
+    day = datetime(2024, 6, 10)
+    lines = [line(1, 1, day), line(1, 1, day), line(2, 1, datetime(2024, 5, 1), category=None), line(None, 1, day, category="z"), line(3, 1, datetime(2024, 7, 20))]
+    lines = [(*x[:2], 0 if x[0] is None else x[2], *x[3:]) for x in lines]
+    got = {r["snapshot_date"].month: r for r in build(rows, lines).collect()}
+    assert (got[7]["orders_cnt"], got[7]["orders_cnt_30d"], got[7]["unique_categories"], got[7]["favorite_category"]) == (2, 1, 2, "a")
+    assert (got[7]["future_orders_cnt"], got[8]["orders_cnt"], got[8]["future_orders_cnt"]) == (1, 3, 0)
