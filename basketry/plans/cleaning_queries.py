@@ -13,7 +13,7 @@ from basketry.functions import scalars as sc
 from basketry.operators import cleaning as cl
 from basketry.operators import segments as sg
 from basketry.plans.catalog import query, view
-from basketry.plans.customers_queries import FIXTURE_ROLES, customer_features, enriched
+from basketry.plans.customers_queries import CUSTOMER_INPUTS, FIXTURE_ROLES, customer_features, enriched
 from basketry.plans.marts_queries import fixture_predictions
 from basketry.plans.products_queries import PRODUCT_INPUTS, product_quality
 from basketry.plans.profiling_queries import time_texts
@@ -78,7 +78,8 @@ def a03(spark, d):
 
 def _published(spark, d):
     root = _folder(spark, "published")
-    lines = enriched(spark, d)
+    # four tables come from the lines: they are joined once, with the columns that these need
+    lines = stage(enriched(spark, d, *dict.fromkeys([*CUSTOMER_INPUTS, *PRODUCT_INPUTS, "department"])), "lines")
     customers = stage(cu.customer_features(lines), "customers")
     tables = {
         "customer_features": customers,
