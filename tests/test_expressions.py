@@ -80,3 +80,18 @@ def test_substring_flag_and_words(rows):
     reviews = tx.review_features(rows("customer_review string", ("bad bad box",), ("bad the box",), ("good box",)))
     words = tx.frequent_negative_words(reviews, ["the"], top=2).collect()
     assert [(r["word"], r["freq"]) for r in words] == [("bad", 3), ("box", 2)]
+
+
+def test_missing_reviews_are_not_split(spark):
+    """A missing review has the counts of its stand-in without being split; other writings of it are split as ever."""
+    from basketry.functions.text import review_features
+
+    words = {"positive": ["unknown"], "negative": ["good"]}
+    found = review_features(spark.createDataFrame([(None,), ("Unknown",), ("unknown",)], "customer_review string"), **words)
+    hidden = {"customer_review", "review_text", "has_review"}
+    got = [{k: v for k, v in r.asDict().items() if k not in hidden} for r in found.collect()]
+    assert got[0] == got[1] == got[2] and got[0]["positive_word_count"] == 1 and got[0]["review_word_count"] == 1
+    # the split is made where the text is given; before, the words of every row were made
+    plan = found.select("review_word_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "= Unknown" in plan
+    assert [r["has_review"] for r in found.collect()] == [0, 0, 1]
