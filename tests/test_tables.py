@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from basketry.operators import churn as ch
 from basketry.plans import cleaning_queries as cq
 from basketry.sources import tables
 
@@ -46,3 +49,11 @@ def test_published_tables_join_the_lines_once(spark, tmp_path, monkeypatch):
     counts = {r["table"]: r["rows"] for r in cq.a04(spark, str(tmp_path)).collect()}
     assert counts == {"customer_features": 2, "churn_predictions": 2, "category_quality": 3, "product_quality": 3}
     assert "lines" in written
+
+
+def test_passes_have_few_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many, few = spark.range(1000).repartition(40 * cores), spark.range(0, 9, 1, 1)
+    assert ch.for_passes(many).rdd.getNumPartitions() == ch.PASS_TASKS * cores
+    assert ch.for_passes(few).rdd.getNumPartitions() == 1
+    assert ch.for_passes(many).agg(F.sum("id")).first()[0] == 499500
