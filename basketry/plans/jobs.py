@@ -73,7 +73,7 @@ def recommender(spark: SparkSession, orders: str, out: str, n: int = 10, users:
     train = stage(train, "train")
     pairs = stage(factorization.interactions(train), "pairs")
     user_info = stage(factorization.user_side(train), "user-side")
-    item_info, lookup = factorization.item_side(train)
+    item_info, lookup = factorization.item_side(train.repartition("product_id"))
     item_info = stage(item_info, "item-side")
     fitted = collective.fit_collective(pairs, user_info, item_info, **model)
     held_out, _ = collective.recommend(fitted, pairs, lookup, test.select("user_id").distinct(), n, user_info)

@@ -168,3 +168,19 @@ def test_users_outside_the_stored_lists_get_the_models_own_offers(spark, monkeyp
     own = {u for u, s in source.items() if s == "hybrid_als"}
     assert sum(s == "hybrid_prebuilt" for s in source.values()) == 10 and len(known) > 10
     assert len(own) == len(known) - 10 and own < known
+
+
+def test_item_levels_are_counted_one_by_one(rows):
+    schema = (
+        "product_id int, user_id int, sale_price double, margin double, retail_price double, is_returned int, is_cancelled int, "
+        "is_completed int, category string, brand string, department string, product_name string"
+    )
+    line = lambda p, u, *levels: (p, u, 2.0, 1.0, 4.0, 0, 0, 1, *levels)
+    lines = rows(
+        schema, line(1, 7, "a", "x", "d", None), line(1, 7, "a", "y", "c", None), line(1, 8, "b", "y", "c", None), line(1, None, "b", "z", None, None),
+        line(2, None, None, "q", "d", "n"), line(2, None, None, "q", "d", "n"),
+    )
+    found = {r["product_id"]: r for r in fz.item_table(lines).collect()}
+    assert [found[1][c] for c in ("category", "brand", "department", "product_name")] == ["a", "y", "c", "unknown"]
+    assert [found[2][c] for c in ("category", "brand", "department", "product_name")] == ["unknown", "q", "d", "n"]
+    assert [(found[p]["item_sales"], found[p]["item_buyers"], found[p]["item_revenue"]) for p in (1, 2)] == [(4, 2, 8.0), (2, 0, 4.0)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from basketry import session as se
+from basketry.operators import factorization as fz
+from basketry.plans import load_catalog
 
 
 @pytest.mark.parametrize("text, size", [("64MB", 64 << 20), ("16m", 16 << 20), ("1048576b", 1 << 20), ("128", 128), ("1g", 1 << 30)])
@@ -30,3 +32,44 @@ def test_tasks_grow_with_the_tables(spark, tmp_path, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shuffled_by(df, column):
+    """Rows that shuffles by ``column`` wrote while ``df`` was collected."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "ShuffleExchangeExec" and column in node.outputPartitioning().toString():
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+@pytest.mark.parametrize("name", ["h06_item_lookup", "h06_item_side"])
+def test_items_do_not_shuffle_counts_per_line(spark, tmp_path, monkeypatch, name):
+    n, products = 4000, 25
+    lines = spark.range(n).selectExpr(
+        "id AS l_orderkey", f"id % {products} AS l_partkey", "id % 3 AS l_suppkey", "1 AS l_linenumber", "2.0D AS l_quantity",
+        "cast(id AS double) AS l_extendedprice", "0.1D AS l_discount", "0.0D AS l_tax", "if(id % 5 = 0, 'R', 'N') AS l_returnflag",
+        "'F' AS l_linestatus", "timestamp_ntz'2001-01-02 00:00:00' AS l_shipdate",
+    )
+    orders = spark.range(n).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "timestamp_ntz'2001-01-01 00:00:00' AS o_orderdate"
+    )
+    parts = spark.range(products).selectExpr(
+        "id AS p_partkey", "concat('n', id) AS p_name", "concat('b', id % 4) AS p_brand", "concat('t', id % 3) AS p_type", "cast(id AS int) AS p_size"
+    )
+    for table, df in (("lineitem", lines), ("orders", orders), ("part", parts)):
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    staged = []
+    monkeypatch.setattr(fz, "stage", lambda df, label="stage": staged.append(df) or df)
+    load_catalog().QUERIES[name](spark, str(tmp_path))
+    (items,) = staged
+    assert shuffled_by(items, "product_id") < n / 4
+    assert {r["item_buyers"] for r in items.select("item_buyers").collect()} == {n // products}
