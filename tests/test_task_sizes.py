@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from basketry import session as se
 from basketry.operators import factorization as fz
@@ -73,3 +77,19 @@ def test_items_do_not_shuffle_counts_per_line(spark, tmp_path, monkeypatch, name
     (items,) = staged
     assert shuffled_by(items, "product_id") < n / 4
     assert {r["item_buyers"] for r in items.select("item_buyers").collect()} == {n // products}
+
+
+def test_a_staged_table_leaves_no_shuffle_and_can_be_deleted(spark):
+    tracked = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    wide = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = tracked(), spark.conf.get(key, None)
+    table = se.stage(wide, "counts")
+    for _ in range(50):  # shuffles are deleted in the background
+        if tracked() <= before:
+            break
+        time.sleep(0.1)
+    assert tracked() <= before and spark.conf.get(key, None) == setting
+    assert table.count() == 7
+    se.discard(table)
+    assert not Path(table._staged_at.removeprefix("file:")).exists()
